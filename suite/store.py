@@ -136,7 +136,7 @@ def reduction_exact_obj(g):
 
 
 @on_graph("reduction_exact_both", f"""select sub, obj from triples where prop = 'g__nation' and sub in {_PLACED}
-and obj in (select obj from triples t2 join triples t3 on t2.sub = t3.sub and t3.prop = 'rdf__type'
+and obj in (select t2.obj from triples t2 join triples t3 on t2.sub = t3.sub and t3.prop = 'rdf__type'
   and t3.obj = 'cls__Supplier' where t2.prop = 'g__nation') and obj in (select sub from triples where prop = 'g__inRegion')
 """)
 def reduction_exact_both(g):

@@ -31,50 +31,56 @@ def is_iri(c: Column | str) -> Column:
     return ~is_literal(c) & ~is_variable(c)
 
 
+def _in_brackets(c: Column) -> Column:
+    return c.startswith("<") & c.endswith(">")
+
+
+def _between(c: Column, before: int, after: int) -> Column:
+    """``c`` without its first ``before`` and last ``after`` characters."""
+    return c.substr(F.lit(before + 1), F.length(c) - (before + after))
+
+
 def strip_brackets(c: Column | str) -> Column:
     c = as_column(c)
-    inner = c.substr(F.lit(2), F.length(c) - 2)
-    return F.when(c.startswith("<") & c.endswith(">"), inner).otherwise(c)
+    return F.when(_in_brackets(c), _between(c, 1, 1)).otherwise(c)
 
 
 def compress_iri(c: Column | str, prefixes: Prefixes) -> Column:
     """Drop ``<>`` and shorten a leading namespace to ``short__``.
 
     Namespaces are anchored at the start and tried longest first, so a
-    namespace that begins with another one wins. Literals pass unchanged.
+    namespace that begins with another one wins. Literals pass unchanged. The
+    result is one flat CASE over ``c``; give it a plain column, not a long
+    expression.
     """
     c = as_column(c)
-    bare = strip_brackets(c)
-    short = bare
-    for name, namespace in sorted(prefixes, key=lambda p: len(p[1])):
-        rest = bare.substr(F.lit(len(namespace) + 1), F.length(bare))
-        short = F.when(bare.startswith(namespace), F.concat(F.lit(f"{name}__"), rest)).otherwise(short)
-    return F.when(is_literal(c), c).otherwise(short)
+    cases = F.when(is_literal(c), c)
+    for name, namespace in sorted(prefixes, key=lambda p: -len(p[1])):
+        short, length = F.lit(f"{name}__"), len(namespace)
+        cases = cases.when(
+            c.startswith(f"<{namespace}") & c.endswith(">"), F.concat(short, _between(c, length + 1, 1))
+        ).when(c.startswith(namespace), F.concat(short, _between(c, length, 0)))
+    return cases.when(_in_brackets(c), _between(c, 1, 1)).otherwise(c)
 
 
 def expand_iri(c: Column | str, prefixes: Prefixes, brackets: bool = False) -> Column:
     """Inverse of :func:`compress_iri`; unknown short names stay as they are."""
     c = as_column(c)
-    full = c
+    left, right = (F.lit("<"), F.lit(">")) if brackets else (F.lit(""), F.lit(""))
+    cases = F.when(is_literal(c) | is_variable(c), c)
     for name, namespace in prefixes:
         head = f"{name}__"
-        rest = c.substr(F.lit(len(head) + 1), F.length(c))
-        full = F.when(c.startswith(head), F.concat(F.lit(namespace), rest)).otherwise(full)
-    if brackets:
-        full = F.concat(F.lit("<"), full, F.lit(">"))
-    return F.when(is_literal(c) | is_variable(c), c).otherwise(full)
-
+        cases = cases.when(
+            c.startswith(head), F.concat(left, F.lit(namespace), _between(c, len(head), 0), right)
+        )
+    return cases.otherwise(F.concat(left, c, right))
 
-def resolve_iri(c: Column | str, base: Column | str) -> Column:
-    """Put ``base`` before a relative IRI, written with or without ``<>``.
 
-    ``base`` is a Python string or a column (for example one base per query).
-    """
+def resolve_iri(c: Column | str, base: str) -> Column:
+    """Put ``base`` before a relative IRI, written with or without ``<>``."""
     c = as_column(c)
-    base = F.lit(base) if isinstance(base, str) else base
-    bracketed = c.startswith("<") & c.endswith(">")
-    resolved = F.when(
-        bracketed, F.concat(F.lit("<"), base, strip_brackets(c), F.lit(">"))
-    ).otherwise(F.concat(base, c))
-    keep = c.contains("://") | is_literal(c) | is_variable(c)
-    return F.when(keep, c).otherwise(resolved)
+    return (
+        F.when(c.contains("://") | is_literal(c) | is_variable(c), c)
+        .when(_in_brackets(c), F.concat(F.lit(f"<{base}"), _between(c, 1, 0)))
+        .otherwise(F.concat(F.lit(base), c))
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.querytext import query_class
 from ..functions.signatures import SIDE_TAGS, signature
-from ..functions.terms import Prefixes, compress_iri, is_literal, is_variable, resolve_iri
+from ..functions.terms import Prefixes, compress_iri, is_literal, is_variable
 
 # One term: <iri>, "literal" with tag or datatype, or a plain word (variable, prefixed name).
 _TERM = r'(<[^>]*>|"[^"]*"(?:@[\w-]+|\^\^<[^>]*>|\^\^[\w:-]+)?|[^\s{}<>"]*[^\s{}<>".])'
@@ -27,33 +27,43 @@ def extract_patterns(query_log: DataFrame, prefixes: Prefixes = ()) -> DataFrame
     texts; it is no grammar of the query language.
     """
     text = F.col("query")
-    body = F.regexp_extract(text, r"(?s)\{(.*)\}", 1)
-    body = F.trim(F.regexp_replace(body, r"(?i)filter\s*\([^)]*\)\s*\.?", " "))
+    prefix = r"(?i)prefix\s+([\w-]*):\s*<([^>]*)>"
     declared = F.map_from_entries(F.array_distinct(F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(r"(?i)prefix\s+([\w-]*):\s*<([^>]*)>"), 1).alias("key"),
-        F.regexp_extract_all(text, F.lit(r"(?i)prefix\s+([\w-]*):\s*<([^>]*)>"), 2).alias("value"),
+        F.regexp_extract_all(text, F.lit(prefix), 1), F.regexp_extract_all(text, F.lit(prefix), 2)
     )))
-    base = F.regexp_extract(text, r"(?i)base\s+<([^>]*)>", 1)
-    ends = [F.regexp_extract_all(body, F.lit(_PATTERN), i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))]
-    rows = query_log.select(
-        "query_id", "query_seq", declared.alias("_declared"), base.alias("_base"),
-        F.posexplode(F.arrays_zip(*ends)).alias("pos", "_t"),
+    body = F.regexp_extract(text, r"(?s)\{(.*)\}", 1)
+    head = query_log.select(
+        "query_id", "query_seq", declared.alias("_declared"),
+        F.regexp_extract(text, r"(?i)base\s+<([^>]*)>", 1).alias("_base"),
+        F.trim(F.regexp_replace(body, r"(?i)filter\s*\([^)]*\)\s*\.?", " ")).alias("_body"),
     )
+    rows = head.select(
+        "query_id", "query_seq", "_declared", "_base",
+        F.posexplode(F.regexp_extract_all("_body", F.lit(_PATTERN), 0)).alias("pos", "_text"),
+    )
+    # One step per select: each reads plain columns, so no long expression is evaluated twice.
+    names = ("s", "p", "o")
+    rows = rows.select("query_id", "query_seq", "pos", "_declared", "_base", *[
+        F.regexp_extract("_text", _PATTERN, i + 1).alias(n) for i, n in enumerate(names)
+    ])
 
-    def term(c: Column) -> Column:
+    def declared_name(c: Column) -> Column:
         name = F.substring_index(c, ":", 1)
-        rest = c.substr(F.length(name) + 2, F.length(c))
-        full = F.concat(F.try_element_at("_declared", name), rest)
-        prefixed = ~c.startswith("<") & c.contains(":")
+        full = F.concat(F.try_element_at("_declared", name), c.substr(F.length(name) + 2, F.length(c)))
+        return F.when(c.rlike(r'^[^<"?].*:|^:'), F.coalesce(full, c)).otherwise(c)
+
+    def absolute(c: Column) -> Column:
         # Relative <x> are resolved only where the text names a base.
-        iri = F.when(prefixed, F.coalesce(full, c)).when(
-            c.startswith("<") & (F.col("_base") != ""), resolve_iri(c, F.col("_base"))
-        ).otherwise(c)
-        return F.when(is_variable(c) | is_literal(c), c).otherwise(compress_iri(iri, prefixes))
+        relative = c.startswith("<") & ~c.contains("://") & (F.col("_base") != "")
+        return F.when(relative, F.concat(F.lit("<"), F.col("_base"), c.substr(F.lit(2), F.length(c)))).otherwise(c)
 
-    return rows.select(
-        "query_id", "query_seq", "pos", *[term(F.col(f"_t.{n}")).alias(n) for n in ("s", "p", "o")]
-    )
+    def stored(c: Column) -> Column:
+        return F.when(is_variable(c), c).otherwise(compress_iri(c, prefixes))
+
+    fixed = ["query_id", "query_seq", "pos"]
+    rows = rows.select(*fixed, "_base", *[declared_name(F.col(n)).alias(n) for n in names])
+    rows = rows.select(*fixed, *[absolute(F.col(n)).alias(n) for n in names])
+    return rows.select(*fixed, *[stored(F.col(n)).alias(n) for n in names])
 
 
 def _ends(workload: DataFrame) -> DataFrame:
@@ -182,13 +192,21 @@ def query_features(workload: DataFrame) -> DataFrame:
     ``max_joins`` is the largest number of positions that share one variable,
     counted on bound properties.
     """
-    sizes = workload.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_triples"))
+    # One pass: every pattern gives a row without variable and one per variable end.
+    bound = ~is_variable("p")
+    uses = F.inline(F.array(
+        F.struct(F.lit(True).alias("counted"), F.lit(None).cast("string").alias("var")),
+        F.struct((bound & is_variable("s")).alias("counted"), F.col("s").alias("var")),
+        F.struct((bound & is_variable("o")).alias("counted"), F.col("o").alias("var")),
+    ))
     degrees = (
-        _ends(workload)
-        .groupBy("query_id", "var").agg(F.count(F.lit(1)).alias("uses"))
-        .groupBy("query_id").agg(F.max("uses").alias("max_joins"))
+        workload.select("query_id", uses).where("counted").groupBy("query_id", "var").agg(F.count(F.lit(1)).alias("uses"))
+    )
+    is_pattern = F.col("var").isNull()
+    return degrees.groupBy("query_id").agg(
+        F.sum(F.when(is_pattern, F.col("uses"))).alias("num_triples"),
+        F.coalesce(F.max(F.when(~is_pattern, F.col("uses"))), F.lit(0).cast("long")).alias("max_joins"),
     )
-    return sizes.join(degrees, "query_id", "left").na.fill(0, ["max_joins"])
 
 
 def workload_sample(

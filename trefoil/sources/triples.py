@@ -10,21 +10,37 @@ SCHEMA = "sub string, prop string, obj string"
 STORED = "sub string, obj string, prop string"
 
 
+_BLANK = " \t\r"
+
+
+def _without_dot(fields: DataFrame) -> DataFrame:
+    """``obj`` without the closing dot of its line and the blanks around it.
+
+    Each select reads plain columns of the one before, so that no string is
+    cut twice.
+    """
+    obj = F.col("obj")
+    trimmed = fields.select("sub", "prop", F.rtrim("obj", F.lit(_BLANK)).alias("obj"))
+    cut = F.rtrim(obj.substr(F.lit(1), F.length("obj") - 1), F.lit(_BLANK))
+    return trimmed.select("sub", "prop", F.when(obj.endswith("."), cut).otherwise(obj).alias("obj"))
+
+
 def parse_triples(lines: DataFrame, sep: str = " ", prefixes: Prefixes = ()) -> DataFrame:
     """Triples from a ``value`` column of ``sub<sep>prop<sep>obj .`` lines.
 
     The closing dot is optional; further separators belong to the object, where
     they come back as single spaces.
     """
-    body = F.regexp_replace(F.col("value"), r"\s*\.\s*$", "")
-    # split() takes a pattern, so the separator is quoted.
-    parts = lines.select(F.split(body, rf"\Q{sep}\E").alias("part")).where(F.size("part") >= 3)
-    obj = F.array_join(F.slice("part", F.lit(3), F.size("part")), " ")
-    return parts.select(
-        compress_iri(F.col("part")[0], prefixes).alias("sub"),
-        compress_iri(F.col("part")[1], prefixes).alias("prop"),
-        obj.alias("obj"),
-    ).withColumn("obj", compress_iri("obj", prefixes))
+    # split() takes a pattern; blanks need no quoting and are split faster without.
+    quoted = sep if sep in (" ", "\t") else rf"\Q{sep}\E"
+    part = F.col("part")
+    parts = lines.select(F.split("value", quoted, 3).alias("part"))
+    parts = parts.where((F.size(part) == 3) & ~F.trim(part[2]).isin("", "."))
+    fields = _without_dot(parts.select(part[0].alias("sub"), part[1].alias("prop"), part[2].alias("obj")))
+    if sep != " ":
+        spaced = F.when(F.col("obj").contains(sep), F.replace("obj", F.lit(sep), F.lit(" "))).otherwise(F.col("obj"))
+        fields = fields.select("sub", "prop", spaced.alias("obj"))
+    return fields.select(*[compress_iri(c, prefixes).alias(c) for c in ("sub", "prop", "obj")])
 
 
 def read_triples(spark: SparkSession, path, sep: str = " ", prefixes: Prefixes = ()) -> DataFrame:
@@ -39,25 +55,27 @@ def clean_triples(lines: DataFrame, prefixes: Prefixes, base: str) -> DataFrame:
     ``a__b`` (inside a typed literal only its datatype does), and only lines of
     exactly three parts stay.
     """
-    value = F.col("value")
-    body = F.regexp_replace(F.trim(value), r"\s*\.\s*$", "")
-    parts = (
-        lines.where(~value.startswith("#") & ~value.startswith("@"))
-        .select(F.split(body, "\t").alias("part"))
-        .where(F.size("part") == 3)
-    )
+    value, part = F.col("value"), F.col("part")
+    kept = lines.where(~value.startswith("#") & ~value.startswith("@"))
+    parts = kept.select(F.split(F.ltrim("value"), "\t", 5).alias("part"))
+    # A dot may follow the third part after a tab.
+    dot_only = (F.size(part) == 4) & F.trim(F.get(part, 3)).isin("", ".")
+    parts = parts.where((F.size(part) == 3) | dot_only)
+    fields = _without_dot(parts.select(part[0].alias("sub"), part[1].alias("prop"), part[2].alias("obj")))
 
     def clean(term):
         bracketed = term.startswith("<") & term.endswith(">")
         relative = F.concat(F.lit(f"{base}__"), term.substr(F.lit(2), F.length(term) - 2))
+        datatype = F.regexp_replace(term, r"\^\^([^<>:\s]+):([^<>:\s]+)$", "^^$1__$2")
         return (
-            F.when(bracketed & term.contains("://"), compress_iri(term, prefixes))
-            .when(bracketed, relative)
-            .when(is_literal(term), F.regexp_replace(term, r"\^\^([^<>:\s]+):([^<>:\s]+)$", "^^$1__$2"))
-            .otherwise(F.regexp_replace(term, r"^([^:]*):([^:]*)$", "$1__$2"))
+            F.when(bracketed & ~term.contains("://"), relative)
+            .when(bracketed, compress_iri(term, prefixes))
+            .when(is_literal(term), F.when(term.contains("^^"), datatype).otherwise(term))
+            .when(term.contains(":"), F.regexp_replace(term, r"^([^:]*):([^:]*)$", "$1__$2"))
+            .otherwise(term)
         )
 
-    return parts.select(*[clean(F.col("part")[i]).alias(n) for i, n in enumerate(("sub", "prop", "obj"))])
+    return fields.select(*[clean(F.col(c)).alias(c) for c in ("sub", "prop", "obj")])
 
 
 def write_vp(triples: DataFrame, path: str, partitions: int | None = None) -> None:
