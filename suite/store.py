@@ -25,9 +25,10 @@ def read_triples(spark, folder):
   case when obj like '"%' or obj like 'cls\\_\\_%' escape '\\' then obj else 'kb__' || obj end as obj from triples)
 select sub, prop, obj from fixed""")
 def clean_triples(spark, folder):
-    lines = warehouse.triple_lines(spark, folder)
-    comments = lines.select(F.explode(F.array(F.concat(F.lit("# "), "value"), F.concat(F.lit("@base "), "value"))).alias("value"))
-    return t.clean_triples(lines.unionByName(comments), warehouse.PREFIXES, "kb")
+    # Each line also as a comment and as a directive, which must vanish.
+    forms = F.array("value", F.concat(F.lit("# "), "value"), F.concat(F.lit("@base "), "value"))
+    lines = warehouse.triple_lines(spark, folder).select(F.explode(forms).alias("value"))
+    return t.clean_triples(lines, warehouse.PREFIXES, "kb")
 
 
 @query("triple_store", _ALL)

@@ -35,32 +35,41 @@ def _in_brackets(c: Column) -> Column:
     return c.startswith("<") & c.endswith(">")
 
 
-def _between(c: Column, before: int, after: int) -> Column:
-    """``c`` without its first ``before`` and last ``after`` characters."""
-    return c.substr(F.lit(before + 1), F.length(c) - (before + after))
+# Length argument of substr() for "up to the end".
+_REST = 2**31 - 1
+
+
+def _after(c: Column, n: int) -> Column:
+    return c.substr(n + 1, _REST)
 
 
 def strip_brackets(c: Column | str) -> Column:
     c = as_column(c)
-    return F.when(_in_brackets(c), _between(c, 1, 1)).otherwise(c)
+    return F.when(_in_brackets(c), c.substr(F.lit(2), F.length(c) - 2)).otherwise(c)
 
 
-def compress_iri(c: Column | str, prefixes: Prefixes) -> Column:
-    """Drop ``<>`` and shorten a leading namespace to ``short__``.
+def shorten(c: Column | str, prefixes: Prefixes) -> Column:
+    """Replace the leading namespace of a term without ``<>`` by ``short__``.
 
-    Namespaces are anchored at the start and tried longest first, so a
-    namespace that begins with another one wins. Literals pass unchanged. The
-    result is one flat CASE over ``c``; give it a plain column, not a long
-    expression.
+    One flat CASE with two plain string operations per namespace, longest
+    first, so that the generated code of a whole prefix list stays small enough
+    to be compiled.
     """
     c = as_column(c)
     cases = F.when(is_literal(c), c)
     for name, namespace in sorted(prefixes, key=lambda p: -len(p[1])):
-        short, length = F.lit(f"{name}__"), len(namespace)
-        cases = cases.when(
-            c.startswith(f"<{namespace}") & c.endswith(">"), F.concat(short, _between(c, length + 1, 1))
-        ).when(c.startswith(namespace), F.concat(short, _between(c, length, 0)))
-    return cases.when(_in_brackets(c), _between(c, 1, 1)).otherwise(c)
+        cases = cases.when(c.startswith(namespace), F.concat(F.lit(f"{name}__"), _after(c, len(namespace))))
+    return cases.otherwise(c)
+
+
+def compress_iri(c: Column | str, prefixes: Prefixes) -> Column:
+    """Drop ``<>`` and shorten a leading namespace to ``short__``.
+
+    Namespaces are anchored at the start, so one that begins with another one
+    wins over it. Literals pass unchanged. Readers of large inputs do the two
+    steps in two selects, to compute the bare term once.
+    """
+    return shorten(strip_brackets(c), prefixes)
 
 
 def expand_iri(c: Column | str, prefixes: Prefixes, brackets: bool = False) -> Column:
@@ -71,7 +80,7 @@ def expand_iri(c: Column | str, prefixes: Prefixes, brackets: bool = False) -> C
     for name, namespace in prefixes:
         head = f"{name}__"
         cases = cases.when(
-            c.startswith(head), F.concat(left, F.lit(namespace), _between(c, len(head), 0), right)
+            c.startswith(head), F.concat(left, F.lit(namespace), _after(c, len(head)), right)
         )
     return cases.otherwise(F.concat(left, c, right))
 
@@ -81,6 +90,6 @@ def resolve_iri(c: Column | str, base: str) -> Column:
     c = as_column(c)
     return (
         F.when(c.contains("://") | is_literal(c) | is_variable(c), c)
-        .when(_in_brackets(c), F.concat(F.lit(f"<{base}"), _between(c, 1, 0)))
+        .when(_in_brackets(c), F.concat(F.lit(f"<{base}"), _after(c, 1)))
         .otherwise(F.concat(F.lit(base), c))
     )

@@ -49,7 +49,7 @@ def semi_join(df: DataFrame, side: str, g: Graph, partner: Side) -> DataFrame:
     """
     prop, partner_side = partner
     values = g.prop(prop).select(F.col(partner_side).alias(side)).distinct()
-    return df.join(values, side, "left_semi")
+    return df.join(values, side, "left_semi").select(*df.columns)
 
 
 def reduce_property(

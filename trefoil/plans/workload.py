@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.querytext import query_class
 from ..functions.signatures import SIDE_TAGS, signature
-from ..functions.terms import Prefixes, compress_iri, is_literal, is_variable
+from ..functions.terms import Prefixes, is_literal, is_variable, shorten, strip_brackets
 
 # One term: <iri>, "literal" with tag or datatype, or a plain word (variable, prefixed name).
 _TERM = r'(<[^>]*>|"[^"]*"(?:@[\w-]+|\^\^<[^>]*>|\^\^[\w:-]+)?|[^\s{}<>"]*[^\s{}<>".])'
@@ -55,15 +55,12 @@ def extract_patterns(query_log: DataFrame, prefixes: Prefixes = ()) -> DataFrame
     def absolute(c: Column) -> Column:
         # Relative <x> are resolved only where the text names a base.
         relative = c.startswith("<") & ~c.contains("://") & (F.col("_base") != "")
-        return F.when(relative, F.concat(F.lit("<"), F.col("_base"), c.substr(F.lit(2), F.length(c)))).otherwise(c)
-
-    def stored(c: Column) -> Column:
-        return F.when(is_variable(c), c).otherwise(compress_iri(c, prefixes))
+        return F.when(relative, F.concat("_base", strip_brackets(c))).otherwise(strip_brackets(c))
 
     fixed = ["query_id", "query_seq", "pos"]
     rows = rows.select(*fixed, "_base", *[declared_name(F.col(n)).alias(n) for n in names])
     rows = rows.select(*fixed, *[absolute(F.col(n)).alias(n) for n in names])
-    return rows.select(*fixed, *[stored(F.col(n)).alias(n) for n in names])
+    return rows.select(*fixed, *[shorten(n, prefixes).alias(n) for n in names])
 
 
 def _ends(workload: DataFrame) -> DataFrame:

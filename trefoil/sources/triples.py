@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.terms import Prefixes, compress_iri, is_literal
+from ..functions.terms import Prefixes, is_literal, shorten, strip_brackets
 
 SCHEMA = "sub string, prop string, obj string"
+_ENDS = ["sub", "prop", "obj"]
 STORED = "sub string, obj string, prop string"
 
 
@@ -40,7 +41,8 @@ def parse_triples(lines: DataFrame, sep: str = " ", prefixes: Prefixes = ()) ->
     if sep != " ":
         spaced = F.when(F.col("obj").contains(sep), F.replace("obj", F.lit(sep), F.lit(" "))).otherwise(F.col("obj"))
         fields = fields.select("sub", "prop", spaced.alias("obj"))
-    return fields.select(*[compress_iri(c, prefixes).alias(c) for c in ("sub", "prop", "obj")])
+    bare = fields.select(*[strip_brackets(c).alias(c) for c in _ENDS])
+    return bare.select(*[shorten(c, prefixes).alias(c) for c in _ENDS])
 
 
 def read_triples(spark: SparkSession, path, sep: str = " ", prefixes: Prefixes = ()) -> DataFrame:
@@ -63,19 +65,20 @@ def clean_triples(lines: DataFrame, prefixes: Prefixes, base: str) -> DataFrame:
     parts = parts.where((F.size(part) == 3) | dot_only)
     fields = _without_dot(parts.select(part[0].alias("sub"), part[1].alias("prop"), part[2].alias("obj")))
 
-    def clean(term):
+    def bare(name):
+        term = F.col(name)
         bracketed = term.startswith("<") & term.endswith(">")
-        relative = F.concat(F.lit(f"{base}__"), term.substr(F.lit(2), F.length(term) - 2))
         datatype = F.regexp_replace(term, r"\^\^([^<>:\s]+):([^<>:\s]+)$", "^^$1__$2")
         return (
-            F.when(bracketed & ~term.contains("://"), relative)
-            .when(bracketed, compress_iri(term, prefixes))
+            F.when(bracketed & ~term.contains("://"), F.concat(F.lit(f"{base}__"), strip_brackets(term)))
+            .when(bracketed, strip_brackets(term))
             .when(is_literal(term), F.when(term.contains("^^"), datatype).otherwise(term))
             .when(term.contains(":"), F.regexp_replace(term, r"^([^:]*):([^:]*)$", "$1__$2"))
             .otherwise(term)
         )
 
-    return fields.select(*[clean(F.col(c)).alias(c) for c in ("sub", "prop", "obj")])
+    terms = fields.select(*[bare(c).alias(c) for c in _ENDS])
+    return terms.select(*[shorten(c, prefixes).alias(c) for c in _ENDS])
 
 
 def write_vp(triples: DataFrame, path: str, partitions: int | None = None) -> None:
