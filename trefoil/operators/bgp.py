@@ -47,13 +47,13 @@ def _tables(g: Graph, patterns, reductions, candidates) -> list[DataFrame]:
     return tables
 
 
-def _counts(g: Graph, patterns, stats) -> dict[str, int] | None:
-    """Rows per property named in the query: one number per pattern at most."""
+def _sizes(g: Graph, patterns, stats) -> dict | None:
+    """Sizes of the properties named in the query, a few numbers per pattern."""
     named = [p for _, p, _ in patterns if not is_var(p)]
     if stats is None and g.stats is not None:
-        return g.counts(named)
+        return g.sizes(named)
     if isinstance(stats, DataFrame):
-        return {r["prop"]: r["n"] for r in stats.where(F.col("prop").isin(named)).collect()}
+        return Graph(g.triples, stats).sizes(named)
     return stats
 
 
@@ -106,8 +106,8 @@ def bgp(
 
     ``select`` lists variables (default: all, in order of appearance),
     ``filters`` holds ``("?a", "!=", "?b")`` triples. Patterns without a shared
-    variable need ``allow_cross``. ``stats`` orders the joins (a dict or a
-    ``(prop, n)`` table; stored statistics are used by themselves),
+    variable need ``allow_cross``. ``stats`` orders the joins (a dict of
+    sizes or a property statistics table; stored statistics are used by themselves),
     ``reductions`` ("exact", "bloom" or a :class:`Reductions`) evaluates over
     reduced tables, ``candidates`` ("exact" or "bloom") prunes free properties.
     """
@@ -122,7 +122,7 @@ def bgp(
     pairs, constants = _split_filters(patterns, filters)
     tables = _tables(g, patterns, reductions, candidates)
     rows, bound, factors = None, set(), []
-    for i in join_order(patterns, _counts(g, patterns, stats)):
+    for i in join_order(patterns, _sizes(g, patterns, stats)):
         vars_ = variables(patterns[i])
         if not vars_:
             factors.append(tables[i].agg(F.count(F.lit(1)).alias("n")))
@@ -196,8 +196,8 @@ def _weighted(tables, patterns, order, by) -> DataFrame:
     return _sum_weights(rows, by)
 
 
-def _grouped_unfiltered(tables, patterns, counts, by, allow_cross) -> DataFrame:
-    order = join_order(patterns, counts)
+def _grouped_unfiltered(tables, patterns, sizes, by, allow_cross) -> DataFrame:
+    order = join_order(patterns, sizes)
     groups = _connected(patterns)
     if len(groups) > 1 and not allow_cross:
         raise ValueError("patterns share no variable; pass allow_cross=True")
@@ -252,14 +252,14 @@ def bgp_grouped(
 
     tables = _tables(g, patterns, reductions, candidates)
     tables = [_apply_local(t, set(variables(p)), local, constants) for t, p in zip(tables, patterns)]
-    counts = _counts(g, patterns, stats)
+    sizes = _sizes(g, patterns, stats)
 
     signed = []
     for size in range(len(excluded) + 1):
         for chosen in combinations(excluded, size):
             merged, merged_tables, kept = _merge_variables(patterns, tables, chosen, names)
             columns = list(dict.fromkeys(kept[n] for n in names))
-            part = _grouped_unfiltered(merged_tables, merged, counts, columns, allow_cross)
+            part = _grouped_unfiltered(merged_tables, merged, sizes, columns, allow_cross)
             part = part.select(*[F.col(kept[n]).alias(n) for n in names], (F.col(_N) * (-1) ** size).alias(_N))
             signed.append(part)
     answer = signed[0]

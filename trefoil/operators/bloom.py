@@ -7,7 +7,7 @@ A filter belongs to one (prop, side). Its bits are stored as
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,11 +24,16 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 @dataclass
 class Blooms:
-    """``meta``: (prop, side, n, m), one row per filter; ``words``: the bits."""
+    """``meta``: (prop, side, n, m), one row per filter; ``words``: the bits.
+
+    ``sides`` names the filters of a selection made by :meth:`of`.
+    """
 
     fpp: float
     meta: DataFrame
     words: DataFrame
+    sides: tuple[tuple[str, str], ...] = ()
+    _bits: dict = field(default_factory=dict)
 
     @property
     def hashes(self) -> int:
@@ -40,9 +45,19 @@ class Blooms:
         wanted = reduce(
             Column.__or__, [(F.col("prop") == p) & (F.col("side") == s) for p, s in sides]
         )
-        return Blooms(self.fpp, self.meta.where(wanted), self.words.where(wanted))
+        return Blooms(self.fpp, self.meta.where(wanted), self.words.where(wanted), sides, self._bits)
+
+    def bits(self, side: tuple[str, str]) -> int:
+        """Size of one filter of the selection, 0 if there is none; looked up once."""
+        if any(s not in self._bits for s in self.sides):
+            self._bits.update(dict.fromkeys(self.sides, 0))
+            self._bits.update({(r["prop"], r["side"]): r["m"] for r in self.meta.collect()})
+        return self._bits[side]
 
     def n_bytes(self) -> int:
+        """Total size of the filters."""
+        if self.sides:
+            return sum(self.bits(side) for side in self.sides) // 8
         return (self.meta.agg(F.sum("m").alias("bits")).first()["bits"] or 0) // 8
 
     def flat(self) -> DataFrame:
@@ -56,22 +71,23 @@ class Blooms:
 
 
 def bit_positions(value: Column, m: Column, hashes: int) -> list[Column]:
-    """Positions of a value by double hashing.
+    """Positions of a value: one seeded hash per bit, modulo the filter size.
 
-    Both hashes are taken modulo the size first, so the sums cannot overflow.
+    Cheaper here than double hashing, whose sums would have to be kept from
+    overflowing and whose generated code is too long to be compiled.
     """
-    h1 = F.pmod(F.xxhash64(value), m)
-    h2 = F.pmod(F.xxhash64(value, F.lit(1)), m - 1) + 1
-    return [F.pmod(h1 + F.lit(i).cast("long") * h2, m) for i in range(hashes)]
+    return [F.pmod(F.xxhash64(value, F.lit(i)), m) for i in range(hashes)]
+
 
+def may_contain(value: Column, hashes: int, m: Column | None = None) -> Column:
+    """Whether a value passes the filter in column ``_words``, of size ``m`` or column ``_m``."""
+    m = F.col("_m") if m is None else m
 
-def may_contain(value: Column, hashes: int) -> Column:
-    """Whether a value passes the filter in columns ``_m`` and ``_words``."""
     def bit(position):
         word = F.get("_words", F.shiftright(position, 6).cast("int"))
         return F.getbit(word, position.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    return reduce(Column.__and__, [bit(p) for p in bit_positions(value, F.col("_m"), hashes)])
+    return reduce(Column.__and__, [bit(p) for p in bit_positions(value, m, hashes)])
 
 
 def filter_bits(n: Column, fpp: float) -> Column:
@@ -155,14 +171,21 @@ def fits(blooms: Blooms, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def bloom_filter_rows(df: DataFrame, column: str, blooms: Blooms) -> DataFrame:
-    """Rows whose value may be in *all* given filters.
+    """Rows whose value may be in *all* filters of a selection (``blooms.of(...)``).
 
     One broadcast semi-join per filter, whose condition is the bit test: the
-    table is filtered where it lies, without a shuffle. The caller has checked
-    the filters' size (:func:`fits`).
+    table is filtered where it lies, without a shuffle. A property that does
+    not exist has no filter and lets nothing pass. The caller has checked the
+    filters' size (:func:`fits`).
     """
-    sides = [(r["prop"], r["side"]) for r in blooms.meta.select("prop", "side").collect()]
-    for prop, side in sorted(sides):
-        one = blooms.of((prop, side)).flat().select("_m", "_words")
-        df = df.join(F.broadcast(one), may_contain(F.col(column), blooms.hashes), "left_semi")
+    if not blooms.sides:
+        raise ValueError("select the filters with of()")
+    chunks = F.array_sort(F.collect_list(F.struct("chunk", "words")))
+    for side in blooms.sides:
+        m = blooms.bits(side)
+        if m == 0:
+            return df.where(F.lit(False))
+        one = blooms.of(side).words.agg(F.flatten(chunks["words"]).alias("_words"))
+        passes = may_contain(F.col(column), blooms.hashes, F.lit(m).cast("long"))
+        df = df.join(F.broadcast(one), passes, "left_semi")
     return df

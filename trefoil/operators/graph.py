@@ -23,7 +23,7 @@ class Graph:
         self.spark: SparkSession = triples.sparkSession
         self.stats = stats
         self.blooms = blooms
-        self._counts: dict[str, int] = {}
+        self._sizes: dict[str, tuple[int, int, int]] = {}
 
     def prop(self, p: str) -> DataFrame:
         """One property table ``(sub, obj)``; reads only that property's data."""
@@ -51,25 +51,26 @@ class Graph:
         blooms = load_blooms(spark, f"{path}/blooms") if exists(spark, f"{path}/blooms") else None
         return cls(read_vp(spark, f"{path}/triples"), stats, blooms)
 
-    def counts(self, props) -> dict[str, int]:
-        """Rows of the given properties: a few numbers, kept with the graph.
+    def sizes(self, props) -> dict[str, tuple[int, int, int]]:
+        """(rows, distinct subjects, distinct objects) of the given properties.
 
-        Read from the stored statistics if there are any, else counted in one
-        job over those properties only.
+        A few numbers per property asked for, kept with the graph. They come
+        from the stored statistics, else from one job over those properties.
         """
-        missing = [p for p in dict.fromkeys(props) if p not in self._counts]
+        from .statistics import property_stats
+
+        missing = [p for p in dict.fromkeys(props) if p not in self._sizes]
         if missing:
-            if self.stats is not None:
-                found = self.stats.where(F.col("prop").isin(missing)).select("prop", "n")
-            else:
-                found = (
-                    self.triples.where(F.col("prop").isin(missing))
-                    .groupBy("prop")
-                    .agg(F.count(F.lit(1)).alias("n"))
-                )
-            self._counts.update(dict.fromkeys(missing, 0))
-            self._counts.update({r["prop"]: r["n"] for r in found.collect()})
-        return {p: self._counts[p] for p in dict.fromkeys(props)}
+            wanted = F.col("prop").isin(missing)
+            stats = self.stats if self.stats is not None else property_stats(Graph(self.triples.where(wanted)))
+            found = stats.where(wanted).select("prop", "n", "n_sub", "n_obj")
+            self._sizes.update(dict.fromkeys(missing, (0, 0, 0)))
+            self._sizes.update({r["prop"]: (r["n"], r["n_sub"], r["n_obj"]) for r in found.collect()})
+        return {p: self._sizes[p] for p in dict.fromkeys(props)}
+
+    def counts(self, props) -> dict[str, int]:
+        """Rows of the given properties."""
+        return {p: size[0] for p, size in self.sizes(props).items()}
 
     def place(self, by: str = "sub", level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "Graph":
         """Cache the triples clustered and sorted by one column.

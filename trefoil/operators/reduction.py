@@ -73,6 +73,7 @@ def reduce_property(
         exact = list(sides)
         if mode == "bloom":
             blooms = graph_blooms(g)
+            fits(blooms.of(*exact), limit)  # looks up all sizes at once
             small = [s for s in exact if fits(blooms.of(s), limit)]
             if small and fits(blooms.of(*small), limit):
                 rows = bloom_filter_rows(rows, column, blooms.of(*small))

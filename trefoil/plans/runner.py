@@ -49,11 +49,11 @@ def run_workload(g: Graph, queries, reductions: Reductions | None = None) -> Dat
         bound = [i for i, (_, p, _) in enumerate(patterns) if not is_var(p)]
         needed = [i for i in bound if kept.key(patterns, i)]
         is_warm = bool(needed) and all(kept.is_kept(patterns, i) for i in needed)
-        counts = g.counts([patterns[i][1] for i in bound])
+        sizes = g.sizes([patterns[i][1] for i in bound])
         reduction_sizes = _sizes(g, kept, patterns)
-        n = bgp_count(g, patterns, stats=counts, reductions=kept, allow_cross=True).first()["n"]
+        n = bgp_count(g, patterns, stats=sizes, reductions=kept, allow_cross=True).first()["n"]
         records.append((
-            str(name), n, (time.perf_counter() - start) * 1000, sum(counts[patterns[i][1]] for i in bound),
+            str(name), n, (time.perf_counter() - start) * 1000, sum(sizes[patterns[i][1]][0] for i in bound),
             reduction_sizes, max_join_degree(patterns), is_warm, len(patterns),
         ))
     if reductions is None:

@@ -19,7 +19,7 @@ def read_query_log(spark: SparkSession, path, record_sep: str | None = None) ->
     their number; text after the last separator is no record.
     """
     if record_sep is None:
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
         return files.select(
             F.substring_index(F.col("_metadata.file_name"), ".", 1).alias("query_name"),
             F.col("value").alias("query"),
