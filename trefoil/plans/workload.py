@@ -100,20 +100,18 @@ def join_pairs(workload: DataFrame) -> DataFrame:
     query with many patterns costs its distinct columns, not its position pairs.
     """
     counts = _label_counts(workload)
-    same = counts.where(F.col("uses") > 1).select(
-        F.col("prop").alias("prop_a"), F.col("side").alias("side_a"),
-        F.col("prop").alias("prop_b"), F.col("side").alias("side_b"),
-        # u(u-1)/2 stays integral and exact.
-        F.expr("uses * (uses - 1) div 2").alias("n"),
-    )
     key = ["query_id", "var"]
     a = counts.select(*key, F.col("prop").alias("prop_a"), F.col("side").alias("side_a"), F.col("uses").alias("_a"))
     b = counts.select(*key, F.col("prop").alias("prop_b"), F.col("side").alias("side_b"), F.col("uses").alias("_b"))
-    ordered = F.struct("prop_a", "side_a") < F.struct("prop_b", "side_b")
-    mixed = a.join(b, key).where(ordered).withColumn("n", F.col("_a") * F.col("_b"))
+    first, second = F.struct("prop_a", "side_a"), F.struct("prop_b", "side_b")
+    # A column used u times pairs with itself u(u-1)/2 times.
+    itself = (F.col("prop_a") == F.col("prop_b")) & (F.col("side_a") == F.col("side_b"))
+    pairs = F.when(itself, F.expr("_a * (_a - 1) div 2")).otherwise(F.col("_a") * F.col("_b"))
     columns = ["prop_a", "side_a", "prop_b", "side_b"]
     return (
-        mixed.select(*columns, "n").unionByName(same).groupBy(*columns).agg(F.sum("n").alias("n"))
+        a.join(b, key).where(first <= second)
+        .select(*columns, pairs.alias("n")).where(F.col("n") > 0)
+        .groupBy(*columns).agg(F.sum("n").alias("n"))
     )
 
 

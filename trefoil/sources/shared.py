@@ -9,19 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+# Temporary folders of local sessions without the setting, by application.
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 
     Only a local session may go without the setting: there the one machine is
-    the whole cluster, and a temporary folder is set as the session's own.
+    the whole cluster, and a temporary folder serves for the session.
     """
     folder = spark.conf.get(SETTING, None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="trefoil-")
-        spark.conf.set(SETTING, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = tempfile.mkdtemp(prefix="trefoil-")
+        folder = _local[application]
     return folder.rstrip("/")
 
 
