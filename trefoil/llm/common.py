@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.shared import materialise
+from ..sources.shared import new_path
 
 # Row number that ``numbered`` adds; callers' columns never carry this name further.
 ROW = "_row"
@@ -30,4 +30,11 @@ def numbered(df: DataFrame, *columns: Column | str) -> DataFrame:
     The numbers differ between evaluations of an arbitrary plan, so the rows are
     written once and every later step reads them back.
     """
-    return materialise(df.select(*columns, F.monotonically_increasing_id().alias(ROW)), "rows")
+    return written(df.select(*columns, F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder, closely packed, and read back."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
