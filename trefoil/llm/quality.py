@@ -24,6 +24,7 @@ SPACE = "[ \\t-\\r]+"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 _INDEX_BITS = 24
+SAMPLE_SHARE = 0.05
 
 
 @dataclass(frozen=True)
@@ -117,13 +118,13 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(counted: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7) -> list[Rule]:
-    """Rules by rejections per second of work, estimated on at most ``sample_rows`` rows.
+def order_rules(counted: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """Rules by rejections per second of work, estimated on a sample with ``text`` and the base columns.
 
-    ``counted`` holds ``text`` and the base columns. The sample is held in memory
-    while every rule runs over it twice, the second time against the clock.
+    The sample is held in memory while every rule runs over it twice, the second
+    time against the clock.
     """
-    sample = counted.sample(0.05, seed=seed).limit(sample_rows).cache()
+    sample = counted.cache()
     total = sample.count()
     if not total:
         sample.unpersist()
@@ -155,8 +156,10 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, sa
     """Add one struct column ``quality`` with the base counts, ``base_failed`` and ``kept``."""
     rules = default_rules() if rules is None else rules
     inner = text_of(text).alias("text")
-    counted = df.select(inner).select("text", base_columns(F.col("text")).alias("b")).select("text", "b.*")
-    ordered = order_rules(counted, rules, sample_rows)
+    # The sample is bounded before anything is computed on it.
+    sample = df.select(inner).sample(SAMPLE_SHARE, seed=7).limit(sample_rows)
+    counted = sample.select("text", base_columns(F.col("text")).alias("b")).select("text", "b.*")
+    ordered = order_rules(counted, rules)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = (
         df.select(F.struct(*[df[c] for c in df.columns]).alias("_in"), inner)

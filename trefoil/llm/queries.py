@@ -1,6 +1,8 @@
 """All registered queries of this folder."""
 
-from . import q_quality  # noqa: F401  (registers its query)
+from . import (  # noqa: F401  (register their queries)
+    q_binary, q_jaccard, q_lines, q_neighbours, q_packing, q_quality, q_substrings, q_warc,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
