@@ -37,7 +37,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 LENGTH = 400
 ANCHOR = 100
 HOT = 20_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 _CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -134,9 +134,9 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
     """For each of some byte strings, where in it a window begins that also begins elsewhere in them."""
     sizes = np.array([len(p) for p in parts], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    s = np.ones(begins[-1] + 1, np.int64)
+    s = np.ones(begins[-1] + 1, np.uint16)
     for b, p in zip(begins, parts):
-        s[b : b + len(p)] = np.frombuffer(p, np.uint8).astype(np.int64) + 2
+        s[b : b + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 2
     s[-1] = 0
     order = suffix_array(s, 258)
     shared, before = permuted_common_prefixes(s, order)

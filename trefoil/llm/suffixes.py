@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 
-_SMALL = 2048
+# Below this length sorting growing prefixes is quicker than another round of induction.
+_SMALL = 1 << 17
 
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one; the last, a unique smallest, counts as such."""
     n = len(s)
-    sign = np.sign(np.diff(s.astype(np.int32)))
-    at = np.where(sign != 0, np.arange(n - 1), n - 1)
+    sign = np.sign(np.diff(s.astype(np.int32))).astype(np.int8)
+    at = np.where(sign != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     following = np.minimum.accumulate(at[::-1])[::-1]
     smaller = np.ones(n, bool)
     inside = following < n - 1
@@ -32,7 +33,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, size: int)
     counts = np.bincount(s, minlength=size)
     ends = np.cumsum(counts)
     starts = ends - counts
-    order = np.full(n, -1, np.int64)
+    order = np.full(n, -1, np.int32)
     chars = s[leftmost]
     grouped = leftmost[np.argsort(chars, kind="stable")]
     seeds = np.bincount(chars, minlength=size)
@@ -113,13 +114,13 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
         return _doubling(s)
     s = s.astype(np.uint16)
     smaller = _types(s)
-    leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    leftmost = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     order = _induce(s, smaller, leftmost, size)
     is_leftmost = np.zeros(len(s), bool)
     is_leftmost[leftmost] = True
     ranked = order[is_leftmost[order]]
     # Name the leftmost smaller substrings; equal ones, compared character by character, share a name.
-    length = np.zeros(len(s), np.int64)
+    length = np.zeros(len(s), np.int32)
     length[leftmost] = np.diff(np.append(leftmost, len(s) - 1)) + 1
     a, b = ranked[:-1], ranked[1:]
     differs = length[a] != length[b]
@@ -131,13 +132,13 @@ def suffix_array(s: np.ndarray, size: int) -> np.ndarray:
         unlike = s[a[live] + k] != s[b[live] + k]
         differs[live[unlike]] = True
         live = live[~unlike]
-    names = np.zeros(len(s), np.int64)
+    names = np.zeros(len(s), np.int32)
     names[ranked] = np.concatenate([[0], np.cumsum(differs)])
     if not differs.all():
         # Two digits a name keep the number of buckets small; the order of the whole names is the same.
         reduced = names[leftmost]
         base = int(np.sqrt(reduced.max() + 1)) + 1
-        digits = np.empty(2 * len(reduced) + 1, np.int64)
+        digits = np.empty(2 * len(reduced) + 1, np.uint16)
         digits[0:-1:2], digits[1:-1:2], digits[-1] = reduced // base + 1, reduced % base + 1, 0
         sub = suffix_array(digits, base + 2)
         sub = sub[(sub % 2 == 0) & (sub < len(digits) - 1)] // 2
@@ -152,15 +153,16 @@ def permuted_common_prefixes(s: np.ndarray, order: np.ndarray) -> tuple[np.ndarr
     before; only the other places are compared, in growing steps.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     free = (i == 0) | (before <= 0)
-    inner = ~free
-    free[inner] = s[i[inner] - 1] != s[before[inner] - 1]
+    inner = np.flatnonzero(~free)
+    free[inner] = s[inner - 1] != s[before[inner] - 1]
+    del inner
     place = np.flatnonzero(free & (before >= 0))
     other = before[place]
-    shared = np.zeros(len(place), np.int64)
+    shared = np.zeros(len(place), np.int32)
     padded = np.concatenate([s.astype(np.int32), np.full(64, -1, np.int32)])
     live, step = np.arange(len(place)), 4
     while len(live):
@@ -173,7 +175,7 @@ def permuted_common_prefixes(s: np.ndarray, order: np.ndarray) -> tuple[np.ndarr
         shared[live] += run
         live = live[run == step]
         step = min(64, step * 2)
-    best = np.full(n, -1, np.int64)
+    best = np.full(n, -1, np.int32)
     best[free] = i[free]
     best[place] = place + shared
     return np.maximum.accumulate(best) - i, before
