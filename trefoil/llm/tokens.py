@@ -9,9 +9,7 @@ by ``limit`` runs. The result is the library's own for the whole text.
 from __future__ import annotations
 
 import re
-from itertools import filterfalse
-
-import numpy as np
+from array import array
 
 # The code points of the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
@@ -29,7 +27,7 @@ class Encoder:
     token reaches from a word into the white space after it.
     """
 
-    def __init__(self, path: str, spaces: str, limit: int = 500_000):
+    def __init__(self, path: str, spaces: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         if spaces not in ("dropped", "leading"):
@@ -38,7 +36,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
-        self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.cut = self._words if spaces == "dropped" else self._spaced
         self.limit = limit
         self.known: dict[str, bytes] = {}
@@ -49,27 +47,34 @@ class Encoder:
     def _spaced(self, text: str) -> list[str]:
         if any(c in text for c in UNSURE):
             return [text]
-        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE) or text[:1] == " " or text[-1:] == " ":
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _RARE) or text[:1] == " " or text[-1:] == " ":
             return _RUNS.findall(text)
-        # Single spaces between words: each begins the run that follows it.
-        return text.replace(" ", "\x1c ").split("\x1c")
+        # Single spaces between words: each begins the run that follows it; single line ends stand alone.
+        return text.replace(" ", "\x1c ").replace("\n", "\x1c\n\x1c").split("\x1c")
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids (of ``dtype``) of each text."""
-        known = self.known
+        known, get = self.known, self.known.get
         runs = [self.cut(t) for t in texts]
-        new: set[str] = set()
-        for r in runs:
-            new.update(filterfalse(known.__contains__, r))
+        # One look-up a run; what is not known yet is filled in after the library has seen it.
+        found = [list(map(get, r)) for r in runs]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        new = {r[k] for r, g in zip(runs, gaps) for k in g}
         if new:
             if len(known) + len(new) > self.limit:
                 known.clear()
-                new = {x for r in runs for x in r}
-            order = list(new)
-            for run, found in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
-                known[run] = np.array(found.ids, self.dtype).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, r)) for r in runs]
+            # Both tokenizers cut between a letter and a mark, so a word with a mark after it is two known runs.
+            marked = [x for x in new if x[-1:] in (".", ",") and x[-2:-1].isalpha()]
+            plain = new.difference(marked).union(x[:-1] for x in marked).difference(known).union(".,")
+            order = list(plain)
+            for run, ids in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
+                known[run] = array(self.code, ids.ids).tobytes()
+            for x in marked:
+                known[x] = known[x[:-1]] + known[x[-1]]
+        for r, f, g in zip(runs, found, gaps):
+            for k in g:
+                f[k] = known[r[k]]
+        return [b"".join(f) for f in found]
 
 
 _encoders: dict[tuple, Encoder] = {}
