@@ -170,14 +170,10 @@ def nearest(
     shards, blocks = max(1, -(-counts["n"] // shard)), max(1, -(-n_queries // block))
     width = F.size("vector") == F.lit(counts["width"] or 0)
     # A shard is sent to each block of queries, a block to each shard: both by numbers, in bounded groups.
-    left = base.where(width).select(
-        F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("long").alias("shard"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "vector",
-    )
-    right = asked.where(width).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
-        F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("long").alias("block"), "id", "vector",
-    )
+    place = F.xxhash64("id", "vector")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = base.where(width).select(F.pmod(place, F.lit(shards)).cast("long").alias("shard"), each(blocks).alias("block"), "id", "vector")
+    right = asked.where(width).select(each(shards).alias("shard"), F.pmod(place, F.lit(blocks)).cast("long").alias("block"), "id", "vector")
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
         _find(k, factor), "query_id long, vec_id long, score double"
     )
