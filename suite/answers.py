@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import trefoil as t
 from trefoil.operators.bgp import bgp, bgp_count, bgp_grouped
 
-from .registry import on_graph, query, stored_graph, TRIPLES
+from .registry import on_graph, query, stored_graph, TRIPLES, per_property
 
 CHAIN = [("?o", "g__placedBy", "?c"), ("?c", "g__nation", "?n"), ("?n", "g__inRegion", "region/1")]
 CYCLE = [
@@ -27,9 +27,8 @@ COMPLEX = [
 
 _CHAIN_SQL = """from triples a join triples b on a.obj = b.sub join triples c on b.obj = c.sub
 where a.prop = 'g__placedBy' and b.prop = 'g__nation' and c.prop = 'g__inRegion' and c.obj = 'region/1'"""
-_CYCLE_SQL = """from triples a join triples b on a.obj = b.sub join triples c on c.sub = a.sub
-join triples d on d.sub = c.obj and d.obj = b.obj
-where a.prop = 'g__hasSupplier' and b.prop = 'g__nation' and c.prop = 'g__placedBy' and d.prop = 'g__nation'"""
+_CYCLE_SQL = """from g__hasSupplier a join g__nation b on a.obj = b.sub join g__placedBy c on c.sub = a.sub
+join g__nation d on d.sub = c.obj and d.obj = b.obj"""
 
 
 @on_graph("bgp_chain", f"select a.sub as o, a.obj as c {_CHAIN_SQL}")
@@ -44,9 +43,8 @@ def star(g):
     return bgp(g, [("?o", "g__placedBy", "?c"), ("?o", "g__status", "?s"), ("?o", "g__priority", "?p")])
 
 
-@on_graph("bgp_linear", """select b.obj as p, c.obj as t from triples a join triples b on a.sub = b.sub
-join triples c on b.obj = c.sub where a.prop = 'g__placedBy' and a.obj = 'customer/10'
-and b.prop = 'g__hasPart' and c.prop = 'g__partType'""")
+@on_graph("bgp_linear", per_property("""select b.obj as p, c.obj as t from g__placedBy a join g__hasPart b on a.sub = b.sub
+join g__partType c on b.obj = c.sub where a.obj = 'customer/10'"""))
 def linear(g):
     # The second pattern joins the first only through the third.
     patterns = [("?o", "g__placedBy", "customer/10"), ("?p", "g__partType", "?t"), ("?o", "g__hasPart", "?p")]
@@ -65,7 +63,7 @@ def object_object_rows(g):
     return bgp(g, [("order/1", "g__hasPart", "?p"), ("?o", "g__hasPart", "?p")])
 
 
-@on_graph("bgp_two_var_cycle", f"select a.sub as o, a.obj as s, b.obj as n, c.obj as c {_CYCLE_SQL}")
+@on_graph("bgp_two_var_cycle", per_property(f"select a.sub as o, a.obj as s, b.obj as n, c.obj as c {_CYCLE_SQL}"))
 def cycle(g):
     return bgp(g, CYCLE)
 
@@ -99,11 +97,10 @@ def repeated_property(g):
     ])
 
 
-@on_graph("bgp_snowflake", """select a.sub as o, a.obj as p, b.obj as b, d.obj as c, e.obj as n
-from triples a join triples b on a.obj = b.sub join triples s on s.sub = a.sub join triples d on d.sub = a.sub
-join triples e on e.sub = d.obj join triples f on f.sub = e.obj
-where a.prop = 'g__hasPart' and b.prop = 'g__brand' and s.prop = 'g__status' and s.obj = '"P"'
-and d.prop = 'g__placedBy' and e.prop = 'g__nation' and f.prop = 'g__inRegion' and f.obj = 'region/2'""")
+@on_graph("bgp_snowflake", per_property("""select a.sub as o, a.obj as p, b.obj as b, d.obj as c, e.obj as n
+from g__hasPart a join g__brand b on a.obj = b.sub join g__status s on s.sub = a.sub join g__placedBy d on d.sub = a.sub
+join g__nation e on e.sub = d.obj join g__inRegion f on f.sub = e.obj
+where s.obj = '"P"' and f.obj = 'region/2'"""))
 def snowflake(g):
     return bgp(g, SNOWFLAKE)
 
@@ -135,10 +132,9 @@ def filter_ne(g):
     return bgp_grouped(g, SHARED, ["?x"], filters=[("?a", "!=", "?b")])
 
 
-@on_graph("bgp_filter_ne_rows", """select a.sub as o, b.obj as n, d.obj as m
-from triples a join triples b on a.obj = b.sub join triples c on c.sub = a.sub join triples d on d.sub = c.obj
-where a.prop = 'g__hasSupplier' and b.prop = 'g__nation' and c.prop = 'g__placedBy' and d.prop = 'g__nation'
-and b.obj <> d.obj""")
+@on_graph("bgp_filter_ne_rows", per_property("""select a.sub as o, b.obj as n, d.obj as m
+from g__hasSupplier a join g__nation b on a.obj = b.sub join g__placedBy c on c.sub = a.sub
+join g__nation d on d.sub = c.obj where b.obj <> d.obj"""))
 def filter_ne_rows(g):
     patterns = CYCLE[:3] + [("?c", "g__nation", "?m")]
     return bgp(g, patterns, select=["?o", "?n", "?m"], filters=[("?n", "!=", "?m")])
@@ -256,8 +252,8 @@ def unbound_join(g):
     ], select=["?p", "?n", "?c", "?o"])
 
 
-@query("unbound_join_candidates", f"""with {TRIPLES} select a.sub as c, b.prop as p, b.obj as x
-from triples a join triples b on a.sub = b.sub where a.prop = 'g__refersTo' and a.sub = a.obj""")
+@query("unbound_join_candidates", f"""with {TRIPLES} select sub as c, prop as p, obj as x from triples
+where sub in (select 'customer/' || c_custkey from customer where c_custkey % 10 = 0)""")
 def unbound_join_candidates(spark, folder):
     g = stored_graph(spark, folder)
     return bgp(g, [("?c", "g__refersTo", "?c"), ("?c", "?p", "?x")], candidates="exact")

@@ -37,6 +37,27 @@ triples(sub, prop, obj) as (
   union all select 'user/' || user_id, 'g__did', '"' || event_type || '"' from events
 )"""
 
+# Each property as a table of its own, from the base table; ``per_property`` puts in those that a statement names.
+PROPERTIES = {
+    "g__inRegion": "select 'nation/' || n_nationkey, 'region/' || n_regionkey from nation",
+    "g__nation": "select 'customer/' || c_custkey, 'nation/' || c_nationkey from customer "
+    "union all select 'supplier/' || s_suppkey, 'nation/' || s_nationkey from supplier",
+    "g__refersTo": "select 'customer/' || c_custkey, 'customer/' || (c_custkey - c_custkey % 10) from customer",
+    "g__placedBy": "select 'order/' || o_orderkey, 'customer/' || o_custkey from orders",
+    "g__status": """select 'order/' || o_orderkey, '"' || o_orderstatus || '"' from orders""",
+    "g__hasPart": "select 'order/' || l_orderkey, 'part/' || l_partkey from lineitem",
+    "g__hasSupplier": "select 'order/' || l_orderkey, 'supplier/' || l_suppkey from lineitem",
+    "g__brand": """select 'part/' || p_partkey, '"' || p_brand || '"' from part""",
+    "g__partType": """select 'part/' || p_partkey, '"' || p_type || '"' from part""",
+}
+
+
+def per_property(sql: str) -> str:
+    """A statement over tables named like properties, each ``(sub, obj)``."""
+    named = [f"{p}(sub, obj) as ({select})" for p, select in PROPERTIES.items() if p in sql]
+    return f"with {', '.join(named)}\n{sql}"
+
+
 WORKLOAD = """
 wl(query_id, query_seq, pos, s, p, o) as (
   select l_orderkey + 1, l_orderkey + 1, l_partkey * 8 + l_linenumber,
@@ -80,9 +101,9 @@ def query(name: str, sql: str | None = None):
 
 
 def on_graph(name: str, sql: str):
-    """Register ``f(graph) -> DataFrame``; its SQL reads ``triples``."""
+    """Register ``f(graph) -> DataFrame``; its SQL reads ``triples``, or has its own tables."""
     def register(f):
-        query(name, f"with {TRIPLES}\n{sql}")(lambda spark, folder: f(graph(spark, folder)))
+        query(name, sql if sql.startswith("with ") else f"with {TRIPLES}\n{sql}")(lambda spark, folder: f(graph(spark, folder)))
         return f
     return register
 

@@ -9,7 +9,7 @@ from trefoil.sources import warehouse
 from trefoil.sources.shared import new_path
 
 from .answers import CHAIN, CYCLE, SNOWFLAKE, _CHAIN_SQL, _CYCLE_SQL
-from .registry import TRIPLES, graph, on_graph, query, stored_graph, written_text
+from .registry import TRIPLES, graph, on_graph, query, stored_graph, written_text, per_property
 
 _ALL = f"with {TRIPLES} select sub, prop, obj from triples"
 
@@ -81,7 +81,7 @@ def graph_stats(g):
 @on_graph("compact_property", """select sub, 0 as part, count(*) as n, string_agg(obj, '|' order by obj) as objs
 from triples where prop = 'g__hasPart' group by sub""")
 def compact_property(g):
-    table = t.compact_property(g, "g__hasPart")
+    table = t.compact_property(g, "g__hasPart", max_items=1_000_000)
     array = F.col("g__hasPart")
     return table.select("sub", "part", F.size(array).cast("long").alias("n"), F.array_join(array, "|").alias("objs"))
 
@@ -163,12 +163,12 @@ def reduction_bloom_missed(spark, folder):
     return exact.join(bloom.distinct(), ["sub", "obj"], "left_anti")
 
 
-@on_graph("bgp_over_reductions", f"select a.sub as o, a.obj as s, b.obj as n, c.obj as c {_CYCLE_SQL}")
+@on_graph("bgp_over_reductions", per_property(f"select a.sub as o, a.obj as s, b.obj as n, c.obj as c {_CYCLE_SQL}"))
 def bgp_over_reductions(g):
     return bgp(g, CYCLE, reductions="exact")
 
 
-@on_graph("bgp_count_over_reductions", f"select count(*) as n {_CYCLE_SQL}")
+@on_graph("bgp_count_over_reductions", per_property(f"select count(*) as n {_CYCLE_SQL}"))
 def bgp_count_over_reductions(g):
     return bgp_count(g, CYCLE, reductions="exact")
 

@@ -6,6 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.terms import as_column
+from .numbering import global_rank
+from ..sources.shared import materialise
 from ..sources.triples import read_vp, write_vp
 
 
@@ -24,6 +26,7 @@ class Graph:
         self.stats = stats
         self.blooms = blooms
         self._sizes: dict[str, tuple[int, int, int]] = {}
+        self._values: dict[tuple[str, str], DataFrame] = {}
 
     def prop(self, p: str) -> DataFrame:
         """One property table ``(sub, obj)``; reads only that property's data."""
@@ -68,6 +71,17 @@ class Graph:
             self._sizes.update({r["prop"]: (r["n"], r["n_sub"], r["n_obj"]) for r in found.collect()})
         return {p: self._sizes[p] for p in dict.fromkeys(props)}
 
+    def values(self, p: str, side: str) -> DataFrame:
+        """Distinct values of one column of a property, written once for the graph.
+
+        Joined with the written table, the other side of a semi-join is a bare
+        shuffle, which lets adaptive execution divide a hot value; a join with
+        the aggregate itself could not be divided.
+        """
+        if (p, side) not in self._values:
+            self._values[p, side] = materialise(self.prop(p).select(side).distinct(), "values")
+        return self._values[p, side]
+
     def counts(self, props) -> dict[str, int]:
         """Rows of the given properties."""
         return {p: size[0] for p, size in self.sizes(props).items()}
@@ -82,25 +96,21 @@ class Graph:
         return Graph(placed, self.stats, self.blooms)
 
 
-def compact_property(g: Graph, p: str, max_items: int = 1_000_000) -> DataFrame:
+def compact_property(g: Graph, p: str, max_items: int) -> DataFrame:
     """``(sub, part, <p>)``: the sorted objects of each subject as one array.
 
     A subject with more than ``max_items`` objects comes back as several parts
-    of about that size, so no task and no row holds an unbounded list; all
-    others have the single part 0. The table of such subjects has at most
-    rows / max_items rows.
+    of at most that size, so no task and no row holds an unbounded list; all
+    others have the single part 0. Parts are ranges of the sorted objects: one
+    after the other they are the one sorted array.
     """
-    # Numbered at the scan, where a retried task sees the same rows in the same order.
-    rows = g.prop(p).withColumn("_id", F.monotonically_increasing_id())
-    parts = (
-        rows.groupBy("sub")
-        .agg(F.ceil(F.count(F.lit(1)) / max_items).cast("long").alias("parts"))
-        .where(F.col("parts") > 1)
-    )
-    spread = F.pmod("_id", F.coalesce("parts", F.lit(1)))
+    # A distributed sort ranks all rows; the first rank of each subject turns that into places within it.
+    ranked = global_rank(g.prop(p), "sub", "obj", name="_rank")
+    firsts = materialise(ranked.groupBy("sub").agg(F.min("_rank").alias("_first")), "firsts")
+    part = F.floor((F.col("_rank") - F.col("_first")) / max_items)
     return (
-        rows.join(parts, "sub", "left")
-        .withColumn("part", spread.cast("int"))
+        ranked.join(firsts, "sub")
+        .withColumn("part", part.cast("int"))
         .groupBy("sub", "part")
         .agg(F.array_sort(F.collect_list("obj")).alias(p))
     )

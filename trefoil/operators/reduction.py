@@ -43,12 +43,12 @@ def partner_sides(patterns: list[Pattern], i: int) -> dict[str, list[Side]]:
 def semi_join(df: DataFrame, side: str, g: Graph, partner: Side) -> DataFrame:
     """Exact reduction of one column by one partner column.
 
-    The partner's values are made distinct first (partly on the map side), so a
-    hot value crosses the network once per task; a hot value on the reduced
-    side is divided by adaptive execution's skew handling.
+    The partner's distinct values are written once per graph; both sides of the
+    join are then bare shuffles, and adaptive execution divides a hot value on
+    the reduced side.
     """
     prop, partner_side = partner
-    values = g.prop(prop).select(F.col(partner_side).alias(side)).distinct()
+    values = g.values(prop, partner_side).select(F.col(partner_side).alias(side))
     return df.join(values, side, "left_semi").select(*df.columns)
 
 
@@ -169,7 +169,7 @@ def marked_property(g: Graph, p: str, signatures, mode: str = "exact") -> DataFr
     for i, (side, partner) in enumerate(needed):
         flag = flags[side, partner] = f"_in{i}"
         prop, partner_side = partner
-        values = g.prop(prop).select(F.col(partner_side).alias(side)).distinct()
+        values = g.values(prop, partner_side).select(F.col(partner_side).alias(side))
         if mode == "bloom":
             blooms = graph_blooms(g).of(partner)
             if fits(blooms):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .bloom import BROADCAST_BYTES, bit_positions, CHUNK_WORDS, fits, graph_blooms, may_contain
+from ..sources.shared import materialise
 from .graph import Graph
 from .pattern import Pattern, bind, is_var
 
@@ -72,6 +73,8 @@ def candidate_properties_by_join(
         if fits(filters, limit):
             flat = F.broadcast(filters.flat().select("prop", "_m", "_words"))
             return wanted.join(flat, may_contain(F.col(side), blooms.hashes)).select("prop").distinct()
+    # Written, the values leave both sides as bare shuffles, and a hot value of the triples is divided.
+    wanted = materialise(wanted, "values")
     return g.triples.select("prop", side).join(wanted, side, "left_semi").select("prop").distinct()
 
 

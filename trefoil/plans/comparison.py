@@ -45,11 +45,11 @@ def rank_aligned(
 ) -> DataFrame:
     """``(rank, time_ms, other_time_ms)``: both systems' times sorted and paired.
 
-    ``key`` breaks ties. The longer list is cut to the shorter one, as its
-    further ranks have no counterpart.
+    ``key`` breaks ties. Ranks that only the longer list has come with a null
+    for the other time.
     """
     def ranked(df, name):
         order = F.col(time).asc() if ascending else F.col(time).desc()
         return global_rank(df.select(key, time), order, F.col(key)).select("rank", F.col(time).alias(name))
 
-    return ranked(runs, "time_ms").join(ranked(other, "other_time_ms"), "rank")
+    return ranked(runs, "time_ms").join(ranked(other, "other_time_ms"), "rank", "full")

@@ -7,6 +7,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.terms import is_variable
+from ..operators.numbering import global_rank
+from ..sources.shared import materialise
 
 
 def transactions(workload: DataFrame) -> DataFrame:
@@ -25,9 +27,9 @@ def frequent_patterns(workload: DataFrame, min_support: float = 0.08) -> DataFra
 def similar_properties(workload: DataFrame, prop: str, k: int = 10, min_count: int = 100, seed: int = 0) -> DataFrame:
     """``(word, similarity)``: the k properties nearest to one in a word2vec space.
 
-    Sentences are the property sequences of the queries. Long ones are cut at
-    ``_SENTENCE`` positions, as the trainer itself would cut them, so no
-    sequence is gathered whole.
+    Sentences are the property sequences of the queries. Long ones are cut into
+    consecutive pieces of ``_SENTENCE`` properties, as the trainer itself would
+    cut them, so no sequence is gathered whole.
     """
     return property_vectors(workload, min_count, seed).findSynonyms(prop, k)
 
@@ -37,9 +39,10 @@ _SENTENCE = 1000
 
 def property_vectors(workload: DataFrame, min_count: int = 100, seed: int = 0):
     bound = workload.where(~is_variable("p"))
-    # A hash of the position divides a query of any length into pieces; short ones stay whole.
-    sizes = bound.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / _SENTENCE).alias("_pieces"))
-    pieces = bound.join(sizes, "query_id").withColumn("_piece", F.pmod(F.xxhash64("pos"), "_pieces"))
+    # A distributed sort numbers all positions; the first number of a query turns that into places within it.
+    ranked = global_rank(bound.select("query_id", "pos", "p"), "query_id", "pos", "p", name="_rank")
+    firsts = materialise(ranked.groupBy("query_id").agg(F.min("_rank").alias("_first")), "firsts")
+    pieces = ranked.join(firsts, "query_id").withColumn("_piece", F.floor((F.col("_rank") - F.col("_first")) / _SENTENCE))
     sentences = (
         pieces.groupBy("query_id", "_piece")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "p")))["p"].alias("items"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.querytext import query_class
 from ..functions.signatures import SIDE_TAGS, signature
 from ..functions.terms import Prefixes, is_literal, is_variable, shorten, strip_brackets
+from ..sources.shared import materialise
 
 # One term: <iri>, "literal" with tag or datatype, or a plain word (variable, prefixed name).
 _TERM = r'(<[^>]*>|"[^"]*"(?:@[\w-]+|\^\^<[^>]*>|\^\^[\w:-]+)?|[^\s{}<>"]*[^\s{}<>".])'
@@ -28,9 +29,13 @@ def extract_patterns(query_log: DataFrame, prefixes: Prefixes = ()) -> DataFrame
     """
     text = F.col("query")
     prefix = r"(?i)prefix\s+([\w-]*):\s*<([^>]*)>"
-    declared = F.map_from_entries(F.array_distinct(F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(prefix), 1), F.regexp_extract_all(text, F.lit(prefix), 2)
-    )))
+    names = F.regexp_extract_all(text, F.lit(prefix), 1)
+    # Of a prefix declared twice the last declaration holds, as a map takes no key twice.
+    last = F.filter(
+        F.arrays_zip(names.alias("name"), F.regexp_extract_all(text, F.lit(prefix), 2).alias("full"), F.transform(names, lambda n, i: i + 1).alias("at")),
+        lambda d: ~F.exists(F.slice(names, d["at"] + 1, F.size(names)), lambda n: n == d["name"]),
+    )
+    declared = F.map_from_arrays(F.transform(last, lambda d: d["name"]), F.transform(last, lambda d: d["full"]))
     body = F.regexp_extract(text, r"(?s)\{(.*)\}", 1)
     head = query_log.select(
         "query_id", "query_seq", declared.alias("_declared"),
@@ -172,10 +177,12 @@ def warm_cold(workload: DataFrame) -> DataFrame:
     """``(query_id, query_seq, sig, is_warm)``: was the reduction computed before?
 
     A signature is warm in every query after the first that uses it. First uses
-    are aggregated and joined back, so a popular signature is no single group.
+    are aggregated, written and joined back; both sides of that join are plain
+    shuffles, so adaptive execution divides a popular signature.
     """
     used = _own_signatures(workload).select("query_id", "query_seq", "sig").distinct()
-    first = used.groupBy("sig").agg(F.min("query_seq").alias("_first"))
+    used = materialise(used, "signatures")
+    first = materialise(used.groupBy("sig").agg(F.min("query_seq").alias("_first")), "first-uses")
     return used.join(first, "sig").select(
         "query_id", "query_seq", "sig", (F.col("_first") < F.col("query_seq")).alias("is_warm")
     )

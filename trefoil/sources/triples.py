@@ -30,12 +30,12 @@ def parse_triples(lines: DataFrame, sep: str = " ", prefixes: Prefixes = ()) ->
     """Triples from a ``value`` column of ``sub<sep>prop<sep>obj .`` lines.
 
     The closing dot is optional; further separators belong to the object, where
-    they come back as single spaces.
+    they come back as single spaces. Lines that begin with ``#`` are comments.
     """
     # split() takes a pattern; blanks need no quoting and are split faster without.
     quoted = sep if sep in (" ", "\t") else rf"\Q{sep}\E"
     part = F.col("part")
-    parts = lines.select(F.split("value", quoted, 3).alias("part"))
+    parts = lines.where(~F.col("value").startswith("#")).select(F.split("value", quoted, 3).alias("part"))
     parts = parts.where((F.size(part) == 3) & ~F.trim(part[2]).isin("", "."))
     fields = _without_dot(parts.select(part[0].alias("sub"), part[1].alias("prop"), part[2].alias("obj")))
     if sep != " ":
