@@ -92,7 +92,8 @@ def compact_property(g):
 @query("bloom_sizes", f"""with {TRIPLES}, d as (
   select prop, 'sub' as side, count(distinct sub) as n from triples group by 1
   union all select prop, 'obj', count(distinct obj) from triples group by 1)
-select prop, side, n, cast(greatest(64, ceil(n * (-ln(0.01) / power(ln(2), 2)))) as bigint) as m from d""")
+select prop, side, n, case when bits > 262144 then cast(ceil(bits / 262144.0) as bigint) * 262144 else bits end as m
+from (select *, cast(greatest(64, ceil(n * (-ln(0.01) / power(ln(2), 2)))) as bigint) as bits from d)""")
 def bloom_sizes(spark, folder):
     return stored_graph(spark, folder).blooms.meta.select("prop", "side", "n", "m")
 
@@ -100,14 +101,14 @@ def bloom_sizes(spark, folder):
 @query("bloom_no_false_negatives", f"with {TRIPLES} select prop, 0 as missed from triples group by 1")
 def bloom_no_false_negatives(spark, folder):
     # Every object of every property must pass that property's own object filter.
-    from trefoil.operators.bloom import may_contain
+    from trefoil.operators.bloom import chunk_of, in_chunk
 
     g = stored_graph(spark, folder)
-    filters = g.blooms
-    own = type(filters)(filters.fpp, filters.meta.where("side = 'obj'"), filters.words.where("side = 'obj'"))
-    probes = g.triples.select("prop", "obj").distinct().join(F.broadcast(own.flat()), "prop")
-    missed = F.sum(F.when(may_contain(F.col("obj"), filters.hashes), 0).otherwise(1)).cast("int")
-    return probes.groupBy("prop").agg(missed.alias("missed"))
+    sizes = g.blooms.meta.where("side = 'obj'").select("prop", "m")
+    probes = g.triples.select("prop", "obj").distinct().join(sizes, "prop").withColumn("chunk", chunk_of(F.col("obj"), F.col("m")))
+    probes = probes.join(g.blooms.words.where("side = 'obj'").drop("side"), ["prop", "chunk"], "left")
+    passes = F.coalesce(in_chunk(F.col("obj"), g.blooms.hashes, F.col("m")), F.lit(False))
+    return probes.groupBy("prop").agg(F.count_if(~passes).cast("int").alias("missed"))
 
 
 @query("bloom_fpp_bound", "select true as within_bound")

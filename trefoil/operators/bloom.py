@@ -2,6 +2,9 @@
 
 A filter belongs to one (prop, side). Its bits are stored as
 ``(prop, side, chunk, words)``: chunk c holds 64-bit words 4096c .. 4096c+4095.
+All bits of a value lie in one chunk, which a hash of its own picks. So a filter
+of any size is probed by an equi-join on the chunk, and a small one, broadcast
+whole, passes exactly the same rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from .graph import Graph
 from .statistics import property_stats
 
 CHUNK_WORDS = 4096
+CHUNK_BITS = 64 * CHUNK_WORDS
 
 # Largest total size of the filters that one join may broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -60,39 +64,46 @@ class Blooms:
             return sum(self.bits(side) for side in self.sides) // 8
         return (self.meta.agg(F.sum("m").alias("bits")).first()["bits"] or 0) // 8
 
-    def flat(self) -> DataFrame:
-        """One row per filter with all its words in one array, for probing.
-
-        Only for filters whose size has been checked against a bound.
-        """
-        chunks = F.array_sort(F.collect_list(F.struct("chunk", "words")))
-        words = self.words.groupBy("prop", "side").agg(F.flatten(chunks["words"]).alias("_words"))
-        return words.join(self.meta.select("prop", "side", F.col("m").alias("_m")), ["prop", "side"])
-
 
 def bit_positions(value: Column, m: Column, hashes: int) -> list[Column]:
-    """Positions of a value: one seeded hash per bit, modulo the filter size.
+    """Positions of a value: the start of its chunk, and one seeded hash per bit inside it.
 
-    Cheaper here than double hashing, whose sums would have to be kept from
+    A filter smaller than a chunk is a single, shorter one. Seeded hashes are
+    cheaper here than double hashing, whose sums would have to be kept from
     overflowing and whose generated code is too long to be compiled.
     """
-    return [F.pmod(F.xxhash64(value, F.lit(i)), m) for i in range(hashes)]
+    start = chunk_of(value, m) * CHUNK_BITS
+    return [start + F.pmod(F.xxhash64(value, F.lit(i)), F.least(m, F.lit(CHUNK_BITS))) for i in range(hashes)]
 
 
-def may_contain(value: Column, hashes: int, m: Column | None = None) -> Column:
-    """Whether a value passes the filter in column ``_words``, of size ``m`` or column ``_m``."""
-    m = F.col("_m") if m is None else m
+def chunk_of(value: Column, m: Column) -> Column:
+    """The chunk that holds all bits of a value, in a filter of ``m`` bits."""
+    return F.pmod(F.xxhash64(value, F.lit(-1)), F.ceil(m / CHUNK_BITS).cast("long"))
 
+
+def may_contain(value: Column, hashes: int, m: Column, words: str = "_words") -> Column:
+    """Whether a value passes a filter of size ``m``, given all its words in a column."""
     def bit(position):
-        word = F.get("_words", F.shiftright(position, 6).cast("int"))
+        word = F.get(words, F.shiftright(position, 6).cast("int"))
         return F.getbit(word, position.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     return reduce(Column.__and__, [bit(p) for p in bit_positions(value, m, hashes)])
 
 
+def in_chunk(value: Column, hashes: int, m: Column, words: str = "words") -> Column:
+    """Whether a value passes, given the words of its own chunk in a column."""
+    def bit(i):
+        position = F.pmod(F.xxhash64(value, F.lit(i)), F.least(m, F.lit(CHUNK_BITS)))
+        word = F.get(words, F.shiftright(position, 6).cast("int"))
+        return F.getbit(word, position.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return reduce(Column.__and__, [bit(i) for i in range(hashes)])
+
+
 def filter_bits(n: Column, fpp: float) -> Column:
-    """Filter size for ``n`` distinct values: -n ln(fpp) / ln(2)^2, at least 64."""
-    return F.greatest(F.lit(64), F.ceil(n * (-math.log(fpp) / math.log(2) ** 2))).cast("long")
+    """Filter size for ``n`` distinct values: -n ln(fpp) / ln(2)^2, at least 64, above a chunk in whole chunks."""
+    bits = F.greatest(F.lit(64), F.ceil(n * (-math.log(fpp) / math.log(2) ** 2))).cast("long")
+    return F.when(bits > CHUNK_BITS, F.ceil(bits / CHUNK_BITS).cast("long") * CHUNK_BITS).otherwise(bits)
 
 
 def build_blooms(g: Graph, fpp: float = 0.01, props=None) -> Blooms:
@@ -170,22 +181,30 @@ def fits(blooms: Blooms, limit: int = BROADCAST_BYTES) -> bool:
     return blooms.n_bytes() <= limit
 
 
-def bloom_filter_rows(df: DataFrame, column: str, blooms: Blooms) -> DataFrame:
+def bloom_filter_rows(df: DataFrame, column: str, blooms: Blooms, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rows whose value may be in *all* filters of a selection (``blooms.of(...)``).
 
-    One broadcast semi-join per filter, whose condition is the bit test: the
-    table is filtered where it lies, without a shuffle. A property that does
-    not exist has no filter and lets nothing pass. The caller has checked the
-    filters' size (:func:`fits`).
+    Up to ``limit`` bytes in all: one broadcast semi-join per filter, whose
+    condition is the bit test, so that the table is filtered where it lies.
+    Beyond: an equi-join of each value with the one chunk that holds its bits.
+    The same rows pass either way. A property that does not exist has no filter
+    and lets nothing pass.
     """
     if not blooms.sides:
         raise ValueError("select the filters with of()")
     chunks = F.array_sort(F.collect_list(F.struct("chunk", "words")))
+    small = fits(blooms, limit)
     for side in blooms.sides:
         m = blooms.bits(side)
         if m == 0:
             return df.where(F.lit(False))
-        one = blooms.of(side).words.agg(F.flatten(chunks["words"]).alias("_words"))
-        passes = may_contain(F.col(column), blooms.hashes, F.lit(m).cast("long"))
-        df = df.join(F.broadcast(one), passes, "left_semi")
+        size = F.lit(m).cast("long")
+        if small:
+            one = blooms.of(side).words.agg(F.flatten(chunks["words"]).alias("_words"))
+            df = df.join(F.broadcast(one), may_contain(F.col(column), blooms.hashes, size), "left_semi")
+        else:
+            parts = blooms.of(side).words.select(F.col("chunk").alias("_chunk"), F.col("words").alias("_words"))
+            keyed = df.withColumn("_chunk", chunk_of(F.col(column), size))
+            passes = (keyed["_chunk"] == parts["_chunk"]) & in_chunk(keyed[column], blooms.hashes, size, "_words")
+            df = keyed.join(parts, passes, "left_semi").drop("_chunk")
     return df

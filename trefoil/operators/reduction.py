@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.signatures import signature_parts, signature_text
 from ..sources.shared import exists
-from .bloom import BROADCAST_BYTES, bloom_filter_rows, fits, graph_blooms
+from .bloom import BROADCAST_BYTES, bloom_filter_rows, graph_blooms
 from .graph import Graph
 from .pattern import Pattern, is_var
 
@@ -64,24 +64,19 @@ def reduce_property(
 
     ``side`` is "sub", "obj" or "both"; for "both", ``partners`` is a dict from
     side to (prop, side) pairs, otherwise a list of pairs. ``mode="bloom"`` tests
-    the partners' Bloom filters; partners whose filters exceed ``limit`` bytes
-    are joined exactly instead.
+    the partners' Bloom filters, broadcast up to ``limit`` bytes and joined by
+    chunk beyond; the rows are the same.
     """
     by_side = partners if side == "both" else {side: partners}
     rows = g.prop(p)
     for column, sides in by_side.items():
-        exact = list(sides)
         if mode == "bloom":
-            blooms = graph_blooms(g)
-            fits(blooms.of(*exact), limit)  # looks up all sizes at once
-            small = [s for s in exact if fits(blooms.of(s), limit)]
-            if small and fits(blooms.of(*small), limit):
-                rows = bloom_filter_rows(rows, column, blooms.of(*small))
-                exact = [s for s in exact if s not in small]
-        elif mode != "exact":
+            rows = bloom_filter_rows(rows, column, graph_blooms(g).of(*sides), limit)
+        elif mode == "exact":
+            for partner in sides:
+                rows = semi_join(rows, column, g, partner)
+        else:
             raise ValueError(f"unknown reduction mode {mode!r}")
-        for partner in exact:
-            rows = semi_join(rows, column, g, partner)
     return rows
 
 
@@ -171,9 +166,7 @@ def marked_property(g: Graph, p: str, signatures, mode: str = "exact") -> DataFr
         prop, partner_side = partner
         values = g.values(prop, partner_side).select(F.col(partner_side).alias(side))
         if mode == "bloom":
-            blooms = graph_blooms(g).of(partner)
-            if fits(blooms):
-                values = bloom_filter_rows(rows.select(side).distinct(), side, blooms)
+            values = bloom_filter_rows(rows.select(side).distinct(), side, graph_blooms(g).of(partner))
         rows = rows.join(values.withColumn(flag, F.lit(1)), side, "left")
     columns = []
     for text, parts in parsed.items():

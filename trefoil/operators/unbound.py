@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import BROADCAST_BYTES, bit_positions, CHUNK_WORDS, fits, graph_blooms, may_contain
+from .bloom import CHUNK_WORDS, bit_positions, chunk_of, graph_blooms, in_chunk
 from ..sources.shared import materialise
 from .graph import Graph
 from .pattern import Pattern, bind, is_var
@@ -56,23 +56,27 @@ def _constant_in_filters(g: Graph, side: str, value: str) -> DataFrame:
 
 
 def candidate_properties_by_join(
-    g: Graph, values: DataFrame, side: str, mode: str = "exact", limit: int = BROADCAST_BYTES
+    g: Graph, values: DataFrame, side: str, mode: str = "exact"
 ) -> DataFrame:
     """``(prop)``: properties whose ``side`` column (may) hold any of the values.
 
     ``values`` is a one-column table. Exact mode is a semi-join of the triples
-    with the distinct values; Bloom mode tests the values against the filters of
-    all properties, broadcast if they stay below ``limit`` bytes, and is exact
-    otherwise. Rows never leave the tasks, only property names do.
+    with the distinct values; Bloom mode meets each value with the one chunk of
+    each property's filter that could hold it, by an equi-join. The driver sees
+    one size per filter.
     """
     wanted = values.toDF(side).distinct()
     if mode == "bloom":
         blooms = graph_blooms(g)
-        meta = blooms.meta.where(F.col("side") == side)
-        filters = type(blooms)(blooms.fpp, meta, blooms.words.where(F.col("side") == side))
-        if fits(filters, limit):
-            flat = F.broadcast(filters.flat().select("prop", "_m", "_words"))
-            return wanted.join(flat, may_contain(F.col(side), blooms.hashes)).select("prop").distinct()
+        sizes = [(r["prop"], r["m"]) for r in blooms.meta.where(F.col("side") == side).collect()]
+        if not sizes:
+            return g.spark.createDataFrame([], "prop string")
+        filters = F.explode(F.array(*[F.struct(F.lit(p).alias("prop"), F.lit(m).cast("long").alias("_m")) for p, m in sizes]))
+        asked = wanted.select(F.col(side).alias("_value"), filters.alias("_f")).select("_value", "_f.*")
+        asked = asked.withColumn("chunk", chunk_of(F.col("_value"), F.col("_m")))
+        chunks = blooms.words.where(F.col("side") == side).select("prop", "chunk", "words")
+        found = asked.join(chunks, ["prop", "chunk"])
+        return found.where(in_chunk(F.col("_value"), blooms.hashes, F.col("_m"))).select("prop").distinct()
     # Written, the values leave both sides as bare shuffles, and a hot value of the triples is divided.
     wanted = materialise(wanted, "values")
     return g.triples.select("prop", side).join(wanted, side, "left_semi").select("prop").distinct()
