@@ -71,7 +71,7 @@ def _fields(data: bytes):
 class Transducer:
     """A model file, compiled."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
         trainer = dict(_fields(next((v for k, v in top if k == _TRAINER), b"")))
@@ -113,7 +113,7 @@ class Transducer:
         self.n_borders = 0
         self.ends: dict[str, str] = {}
         # Pieces that merging their own characters gives; no other can be on a path.
-        self.lattice = {p for p in self.ids if self._merged(p) == [p]} if self.merges else set(self.ids)
+        self.lattice = {p: p for p in self.ids if not self.merges or self._merged(p) == [p]}
 
     def normalise(self, text: str) -> str:
         if self.trim:
@@ -149,7 +149,7 @@ class Transducer:
                 self.borders, self.n_borders = {}, 0
                 row = self.borders[left] = {}
             self.n_borders += 1
-            found = row[right] = self._merged(left + right) == ([left, right] if left else [right])
+            found = row[self.lattice.get(right, right)] = self._merged(left + right) == ([left, right] if left else [right])
         return found
 
     def shortest(self, text: str) -> list[str]:
@@ -173,7 +173,8 @@ class Transducer:
                 for begin in range(max(0, end - longest), end):
                     piece = text[begin:end]
                     if (piece in lattice or begin == end - 1) and stays(last[begin], piece):
-                        last[end] = piece
+                        # The model's own string, not another copy of it in each table.
+                        last[end] = lattice.get(piece, piece)
                         break
                 if prefix is not None:
                     ends[prefix] = last[end]
