@@ -354,6 +354,14 @@ def intersect_candidates(g):
     return t.intersect_candidates(t.candidate_properties(g, o="nation/3"), t.candidate_properties(g, s="supplier/1"))
 
 
+@on_graph("exclude_table", """select sub, prop, obj from triples where sub not in (select obj from triples where prop = 'g__placedBy')
+and prop in ('g__segment', 'g__nation')""")
+def exclude_table(g):
+    # The listed values are a table: customers without an order, and what is no customer.
+    rows = t.union_properties(g, ["g__segment", "g__nation"])
+    return t.exclude(rows, "sub", g.prop("g__placedBy").select("obj"))
+
+
 @on_graph("exclude_properties", """select prop, count(*) as n from triples
 where prop not in ('g__hasPart', 'rdf__type') group by 1""")
 def exclude_properties(g):

@@ -43,12 +43,11 @@ def property_scan(spark, folder):
     return stored_graph(spark, folder).prop("g__hasPart")
 
 
-@query("placed_graph", f"with {TRIPLES} select sub, prop, obj from triples where prop = 'g__placedBy'")
+@query("placed_graph", f"with {TRIPLES} select prop, count(*) as n, count(distinct sub) as subjects from triples group by 1")
 def placed_graph(spark, folder):
-    from pyspark import StorageLevel
-
-    placed = stored_graph(spark, folder).place("sub", StorageLevel.NONE)
-    return placed.triples.where(F.col("prop") == "g__placedBy")
+    # Cached, the whole graph by subject.
+    placed = stored_graph(spark, folder).place("sub")
+    return placed.triples.groupBy("prop").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sub").alias("subjects"))
 
 
 @on_graph("properties", "select distinct prop from triples")

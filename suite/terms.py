@@ -7,7 +7,7 @@ from trefoil.sources import warehouse
 
 from .registry import TRIPLES, graph, query
 
-_DISTINCT = f"with {TRIPLES}, terms as (select prop as term from triples union select obj from triples)"
+_DISTINCT = f"with {TRIPLES}, terms as (select sub as term from triples union select prop from triples union select obj from triples)"
 _FULL = """case when term like 'rdf\\_\\_%' escape '\\' then 'http://www.w3.org/1999/02/22-rdf-syntax-ns#' || substr(term, 6)
   when term like 'cls\\_\\_%' escape '\\' then 'http://graph.example/class/' || substr(term, 6)
   when term like 'g\\_\\_%' escape '\\' then 'http://graph.example/' || substr(term, 4) else term end"""
@@ -15,7 +15,7 @@ _FULL = """case when term like 'rdf\\_\\_%' escape '\\' then 'http://www.w3.org/
 
 def _terms(spark, folder):
     triples = graph(spark, folder).triples
-    return triples.select(F.explode(F.array("prop", "obj")).alias("term")).distinct()
+    return triples.select(F.explode(F.array("sub", "prop", "obj")).alias("term")).distinct()
 
 
 @query("expand_iri", f"{_DISTINCT} select term, {_FULL} as iri from terms")
