@@ -160,6 +160,18 @@ def frequent_patterns(spark, folder):
     return found.where(F.size("items") <= 3).select(F.array_join("items", "|").alias("items"), "freq")
 
 
+@query("similar_properties_statement", f"""with {WORKLOAD} select 10 as n, true as all_known, false as has_itself, true as in_range""")
+def similar_properties_statement(spark, folder):
+    # What holds for any neighbours: ten distinct known words, not the word itself, with cosines.
+    workload = warehouse.workload(spark, folder)
+    found = t.similar_properties(workload, "Brand#1", k=10, min_count=5)
+    known = workload.select(F.col("p").alias("word")).distinct().withColumn("known", F.lit(True))
+    return found.join(known, "word", "left").agg(
+        F.countDistinct("word").cast("int").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"),
+        F.bool_or(F.col("word") == "Brand#1").alias("has_itself"), F.bool_and(F.abs("similarity") <= 1.000001).alias("in_range"),
+    )
+
+
 @query("similar_properties")
 def similar_properties(spark, folder):
     return t.similar_properties(warehouse.workload(spark, folder), "Brand#1", k=10, min_count=5)

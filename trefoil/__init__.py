@@ -6,7 +6,7 @@ from .operators.graph import Graph, compact_property, exclude, union_properties
 from .operators.numbering import global_rank, repeat_rows
 from .operators.pattern import pattern
 from .operators.reduction import (
-    Reductions, best_reduction, materialize_reductions, reduce_property, reduced, reduction_report,
+    Reductions, StoredReductions, best_reduction, materialize_reductions, reduce_property, reduced, reduction_report,
 )
 from .operators.statistics import graph_stats, properties, property_stats
 from .operators.unbound import (

@@ -221,6 +221,34 @@ def reduced(g: Graph, path: str, p: str, signature: str | None) -> DataFrame:
     return table.select("sub", "obj")
 
 
+class StoredReductions:
+    """Reductions written by :func:`materialize_reductions`, for ``bgp(reductions=...)``.
+
+    A pattern reads the smallest stored column whose partners all join with it
+    in the query, else its whole property table. The driver holds one row per
+    stored signature.
+    """
+
+    def __init__(self, g: Graph, path: str):
+        self.g, self.path = g, path
+        self._stored: dict[str, list[tuple[int, str]]] = {}
+        for r in g.spark.read.parquet(f"{path}/stats").collect():
+            self._stored.setdefault(r["prop"], []).append((r["n"], r["signature"]))
+
+    def choice(self, patterns: list[Pattern], i: int) -> str | None:
+        """Signature that pattern i reads."""
+        joined = partner_sides(patterns, i)
+        usable = []
+        for n, text in self._stored.get(patterns[i][1], []):
+            (_, side), *partners = signature_parts(text)
+            if set(partners) <= set(joined.get(side, [])):
+                usable.append((n, text))
+        return min(usable)[1] if usable else None
+
+    def table(self, patterns: list[Pattern], i: int) -> DataFrame:
+        return reduced(self.g, self.path, patterns[i][1], self.choice(patterns, i))
+
+
 def best_reduction(stats: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """``(prop, signature, n)``: the smallest non-empty reduction per property.
 
