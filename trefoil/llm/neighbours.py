@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import written
 
 SHARD = 16384
-BLOCK = 1024
-LEAF = 64
+BLOCK = 4096
+LEAF = 256
 
 
 class Tree:
