@@ -36,8 +36,10 @@ def _windows(text: Column, window: int) -> Column:
 
 def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``df`` with the text that is left, and a struct column ``lines`` (``n_lines``, ``n_removed``)."""
-    docs = numbered(df, F.struct(*[df[c] for c in df.columns]).alias("_in"), F.col(text).alias("_text"))
-    key = F.coalesce(F.col("_in")[doc_id].cast("long"), F.lit(2**63 - 1)).alias("key")
+    # The text is held once; the other columns go beside it under names of their own.
+    inner = {c: f"c{k}" for k, c in enumerate(df.columns) if c != text}
+    docs = numbered(df, *[df[c].alias(n) for c, n in inner.items()], F.col(text).alias("_text"))
+    key = F.coalesce(F.col(inner[doc_id]).cast("long"), F.lit(2**63 - 1)).alias("key")
     found = docs.select(key, ROW, F.explode(_windows(F.col("_text"), window)).alias("w")).select("key", ROW, "w.a", "w.b", "w.pos")
     place = F.struct("key", ROW, "pos")
     first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -59,8 +61,8 @@ def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window
         F.col("_text").alias("text"), F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.lit(0).cast("long").alias("n_removed"),
     )
-    out = joined.select("_in", F.when(F.col("at").isNull(), whole).otherwise(let(F.split("_text", "\n"), left_over)).alias("o"))
+    out = joined.select(*inner.values(), F.when(F.col("at").isNull(), whole).otherwise(let(F.split("_text", "\n"), left_over)).alias("o"))
     return out.select(
-        *[(F.col("o.text") if c == text else F.col("_in")[c]).alias(c) for c in df.columns],
+        *[F.col("o.text" if c == text else inner[c]).alias(c) for c in df.columns],
         F.struct("o.n_lines", "o.n_removed").alias("lines"),
     )
