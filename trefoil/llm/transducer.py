@@ -97,6 +97,8 @@ class Transducer:
             raise ValueError("models with user-defined pieces are not supported")
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (NORMAL, UNUSED)}
         self.unknown = self.types.index(UNKNOWN)
+        # Pieces that are not simply their text.
+        self.special = np.array([t not in (NORMAL, UNUSED) for t in self.types])
         self.byte_ids = [self.types.index(BYTE) + b for b in range(256)] if self.byte_fallback else []
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_weight = 10 - min((self.scores[i] for i in self.ids.values()), default=0)
@@ -219,8 +221,11 @@ class Transducer:
         return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int64)
+        if not self.special[ids].any():
+            return self._spaced("".join(map(self.pieces.__getitem__, ids.tolist())))
         out, raw = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             kind = self.types[i]
             if kind == BYTE:
                 raw.append(i - self.byte_ids[0])
@@ -232,7 +237,9 @@ class Transducer:
                 out.append(self.surface if kind == UNKNOWN else self.pieces[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        return self._spaced("".join(out))
+
+    def _spaced(self, text: str) -> str:
         if self.dummy and text.startswith(MARK):
             text = text[1:]
         return text.replace(MARK, " ")
@@ -264,8 +271,10 @@ def _decode(path: str):
     def run(batches):
         for batch in batches:
             t = model(path)
+            # One document's ids at a time become Python numbers.
             ids = batch.column(1)
-            text = [None if x is None else t.decode(x) for x in ids.to_pylist()]
+            at, values, there = ids.offsets.to_numpy(), ids.values.to_numpy(), ids.is_valid().to_pylist()
+            text = [t.decode(values[at[k] : at[k + 1]]) if there[k] else None for k in range(len(ids))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["_in", "decoded"])
     return run
 
