@@ -182,7 +182,7 @@ def projection(g):
     return bgp(g, [("?o", "g__placedBy", "?c"), ("?c", "g__nation", "?n")], select=["?n"])
 
 
-@on_graph("bgp_count", f"select count(*) as n {_CYCLE_SQL}")
+@on_graph("bgp_count", per_property(f"select count(*) as n {_CYCLE_SQL}"))
 def count(g):
     return bgp_count(g, CYCLE)
 
