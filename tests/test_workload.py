@@ -166,4 +166,5 @@ def test_comparison(spark):
     assert {tuple(r) for r in t.mean_time_by_joins(runs, other).collect()} == {(1, 20.0, 3.0)}
     assert [tuple(r) for r in t.cold_queries(runs, other).collect()] == [(2, 20.0, 3.0)]
     ranked = t.rank_aligned(runs, other).orderBy("rank").collect()
-    assert [tuple(r) for r in ranked] == [(1, 30.0, 100.0), (2, 20.0, 5.0), (3, 10.0, 3.0)]
+    # The longer list keeps its last rank, without a partner.
+    assert [tuple(r) for r in ranked] == [(1, 30.0, 100.0), (2, 20.0, 5.0), (3, 10.0, 3.0), (4, None, 1.0)]
