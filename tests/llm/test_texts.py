@@ -159,6 +159,23 @@ def test_encoder_is_the_library(name, spaces):
             assert np.frombuffer(ids, mine.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped")])
+def test_encoder_marks_after_any_letter(name, spaces):
+    """A mark after a letter that is normalised to a letter and a combining mark."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(name))
+    mine = Encoder(vocabulary(name), spaces)
+    letters = [c for c in map(chr, range(0x30000)) if c.isalpha()]
+    texts = [c + m for c in letters for m in ".,"] + ["BAK\u0130.", "\u09b9\u09df,", "\u0915\u0958."]
+    rng = random.Random(7)
+    parts = [".", ",", "a", "Th", "é", "e\u0301", "\u0130", "\u0915", "\u0958", "\u09b9", "\u09df", "\u0a5c", "\u0b5c", "\u0f43", "\ufb2a", " "]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    wanted = library.encode_batch_fast(texts, add_special_tokens=False)
+    for t, ids, want in zip(texts, mine.batch(texts), wanted):
+        assert np.frombuffer(ids, mine.dtype).tolist() == want.ids, repr(t)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

@@ -63,8 +63,9 @@ class Encoder:
         if new:
             if len(known) + len(new) > self.limit:
                 known.clear()
-            # Both tokenizers cut between a letter and a mark, so a word with a mark after it is two known runs.
-            marked = [x for x in new if x[-1:] in (".", ",") and x[-2:-1].isalpha()]
+            # Both tokenizers cut between an ASCII letter and a mark, so a word with a mark after it is two known runs.
+            # Other letters may be normalised to a letter and a combining mark, which joins the mark after it.
+            marked = [x for x in new if x[-1:] in (".", ",") and x[-2:-1].isascii() and x[-2:-1].isalpha()]
             plain = new.difference(marked).union(x[:-1] for x in marked).difference(known).union(".,")
             order = list(plain)
             for run, ids in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
