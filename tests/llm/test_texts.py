@@ -176,6 +176,34 @@ def test_encoder_marks_after_any_letter(name, spaces):
         assert np.frombuffer(ids, mine.dtype).tolist() == want.ids, repr(t)
 
 
+@pytest.mark.parametrize("name, spaces", [("byte_bpe_50k.json", "leading"), ("word_bpe_49k.json", "dropped")])
+def test_encoder_finds_special_tokens(name, spaces):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(name))
+    mine = Encoder(vocabulary(name), spaces, limit=500, special=True)
+    rng = random.Random(12)
+    parts = [" ", "  ", "\n", "\t", "a", "Th", "é", ".", ",", "12", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "\x1c", "\u0301"]
+    texts = ["one <|endoftext|> two"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for t, ids in zip(texts, mine.batch(texts)):
+        assert np.frombuffer(ids, mine.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_queries_find_special_tokens(spark, tmp_path):
+    """The registered queries give the ids of a tokenizer as it comes from the file."""
+    from tokenizers import Tokenizer
+
+    from trefoil.llm.q_binary import op3_binary_ids
+    from trefoil.llm.q_packing import op9_best_fit_packing
+
+    texts = ["one <|endoftext|> two", "<|startoftext|>a<|endoftext|>.", "plain words."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, end in ((op3_binary_ids, "byte_bpe_50k.json", 2), (op9_best_fit_packing, "word_bpe_49k.json", 0)):
+        library = Tokenizer.from_file(vocabulary(name))
+        want = {i: brute.crc(library.encode(t, add_special_tokens=False).ids + [end]) for i, t in enumerate(texts)}
+        assert {r["doc_id"]: r["ids_crc32"] for r in query(spark, str(tmp_path)).collect()} == want
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

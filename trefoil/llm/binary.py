@@ -57,10 +57,10 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenise(path: str, spaces: str, end_id: int):
+def _tokenise(path: str, spaces: str, end_id: int, special: bool):
     def run(batches):
         for batch in batches:
-            enc = encoder(path, spaces)
+            enc = encoder(path, spaces, special)
             end = np.array([end_id], enc.dtype).tobytes()
             texts = batch.column(2).to_pylist()
             ids = []
@@ -122,12 +122,13 @@ def _blocks(rank_of: np.ndarray, block_ids: int):
 
 def write_ids(
     df: DataFrame, tokenizer: str, spaces: str, end_id: int, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS,
+    special: bool = False,
 ) -> str:
     """Tokenise ``df`` and write the ids in ascending document order; returns the folder."""
     spark = df.sparkSession
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias(ROW), F.col(text).alias("text"))
     # Written once: the row numbers and ids of this evaluation hold for all that follows.
-    ids = written(source.mapInArrow(_tokenise(tokenizer, spaces, end_id), f"doc_id long, {ROW} long, ids binary, width int"), "ids")
+    ids = written(source.mapInArrow(_tokenise(tokenizer, spaces, end_id, special), f"doc_id long, {ROW} long, ids binary, width int"), "ids")
     # One row per id of the vocabulary at most.
     counts = ids.select("ids", "width").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counts.orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy()

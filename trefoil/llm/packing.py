@@ -37,10 +37,10 @@ CAPACITY = 2048
 GROUPS = 32
 
 
-def _pieces(path: str, spaces: str, end_id: int, capacity: int, with_ids: bool):
+def _pieces(path: str, spaces: str, end_id: int, capacity: int, with_ids: bool, special: bool):
     def run(batches):
         for batch in batches:
-            enc = encoder(path, spaces)
+            enc = encoder(path, spaces, special)
             docs, rows, texts = (batch.column(k).to_pylist() for k in range(3))
             for i in range(0, len(texts), 256):
                 out = defaultdict(list)
@@ -60,13 +60,13 @@ def _pieces(path: str, spaces: str, end_id: int, capacity: int, with_ids: bool):
 
 def pieces(
     df: DataFrame, tokenizer: str, spaces: str, end_id: int, capacity: int = CAPACITY,
-    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
+    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, special: bool = False,
 ) -> DataFrame:
     """Pieces of all documents, written once: ``doc_id``, row, ``piece``, ``start``, ``length``, ``ids_crc32``
     and, if wanted, ``ids`` (little-endian 32-bit numbers)."""
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias(ROW), F.col(text).alias("text"))
     schema = f"doc_id long, {ROW} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return written(source.mapInArrow(_pieces(tokenizer, spaces, end_id, capacity, with_ids), schema), "pieces")
+    return written(source.mapInArrow(_pieces(tokenizer, spaces, end_id, capacity, with_ids, special), schema), "pieces")
 
 
 def _best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:

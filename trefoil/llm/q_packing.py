@@ -7,7 +7,7 @@ from .tokens import vocabulary
 
 
 def packed(docs):
-    return pack(pieces(docs, vocabulary("word_bpe_49k.json"), "dropped", end_id=0))
+    return pack(pieces(docs, vocabulary("word_bpe_49k.json"), "dropped", end_id=0, special=True))
 
 
 @query("op9_best_fit_packing")

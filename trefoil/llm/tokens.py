@@ -25,19 +25,25 @@ class Encoder:
     ``spaces`` tells what the tokenizer does with white space: ``"dropped"`` if it
     only separates words, ``"leading"`` if one space may begin a token and no
     token reaches from a word into the white space after it.
+
+    With ``special`` the special tokens of the file are found in texts, as by the
+    library as it comes; without, their characters are ordinary text.
     """
 
-    def __init__(self, path: str, spaces: str, limit: int = 1_000_000):
+    def __init__(self, path: str, spaces: str, limit: int = 1_000_000, special: bool = False):
         from tokenizers import Tokenizer
 
         if spaces not in ("dropped", "leading"):
             raise ValueError("spaces is 'dropped' or 'leading'")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        self.cut = self._words if spaces == "dropped" else self._spaced
+        # Added tokens that may reach over white space or a mark leave no sure place to cut.
+        added = self.library.get_added_tokens_decoder().values()
+        self.whole = any(a.lstrip or a.rstrip or any(c in a.content for c in WHITE + UNSURE + ".,") for a in added)
+        self.cut = (lambda text: [text]) if self.whole else self._words if spaces == "dropped" else self._spaced
         self.limit = limit
         self.known: dict[str, bytes] = {}
 
@@ -65,7 +71,7 @@ class Encoder:
                 known.clear()
             # Both tokenizers cut between an ASCII letter and a mark, so a word with a mark after it is two known runs.
             # Other letters may be normalised to a letter and a combining mark, which joins the mark after it.
-            marked = [x for x in new if x[-1:] in (".", ",") and x[-2:-1].isascii() and x[-2:-1].isalpha()]
+            marked = [x for x in new if x[-1:] in (".", ",") and x[-2:-1].isascii() and x[-2:-1].isalpha() and not self.whole]
             plain = new.difference(marked).union(x[:-1] for x in marked).difference(known).union(".,")
             order = list(plain)
             for run, ids in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
@@ -81,14 +87,14 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaces: str) -> Encoder:
+def encoder(path: str, spaces: str, special: bool = False) -> Encoder:
     """The encoder of this process, kept between tasks."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = Encoder(path, spaces)
-    return _encoders[path, spaces]
+    if (path, spaces, special) not in _encoders:
+        _encoders[path, spaces, special] = Encoder(path, spaces, special=special)
+    return _encoders[path, spaces, special]
 
 
 def vocabulary(name: str) -> str:
