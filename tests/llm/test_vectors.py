@@ -50,6 +50,36 @@ def test_exact_with_factor_one(spark, rows):
             assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=0, atol=1e-12)
 
 
+def by_length(rows, queries, k):
+    """``exact`` for vectors of any length, each length by itself, the best vector of an id counting."""
+    best = {}
+    for q, a in queries:
+        for i, b in rows:
+            if i != q and len(a) == len(b):
+                x, y = np.array(a, float), np.array(b, float)
+                s = float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())))
+                best.setdefault(q, {})[i] = max(s, best.get(q, {}).get(i, -9))
+    return {q: [i for i, _ in sorted(c.items(), key=lambda x: (-round(x[1], 12), x[0]))[:k]] for q, c in best.items()}
+
+
+def found_ids(df):
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_lengths_by_themselves(spark):
+    """A stray longer vector takes nothing from the others; several lengths are searched each by itself."""
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(60)]
+    schema = "vec_id long, embedding array<double>"
+    for extra in ([(90, [1.0] * 9)], [(100 + i, [float(x) for x in rng.standard_normal(9)]) for i in range(20)] + [(7, [1.0] * 9)]):
+        df = spark.createDataFrame(data + extra, schema)
+        for options in ({}, {"shard": 16, "block": 7}):
+            assert found_ids(nearest(df, df, factor=1.0, **options)) == by_length(data + extra, data + extra, 5)
+
+
 def test_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], schema)

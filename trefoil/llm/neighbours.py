@@ -14,8 +14,9 @@ query, whose cosines are computed from the original vectors in double precision.
 Within a block the queries walk the tree together, so a node is one matrix
 operation for all queries that reach it.
 
-Defined cases: vectors that are null, empty, zero, shorter than the longest, or hold null or non-finite components take no part, neither as
-query nor as candidate; rows with a null id neither. Repeated rows count once; an
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as
+query nor as candidate; rows with a null id neither. Vectors meet those of their
+own length only, each length in shards of its own. Repeated rows count once; an
 id with several vectors stands for the one that is nearest, as query too, and no
 row is a candidate for a query of its own id. Ties go to the smaller id. Fewer
 candidates than ``k`` are all returned.
@@ -165,16 +166,19 @@ def nearest(
         return rows.where(F.col("id").isNotNull() & _sound("vector")).distinct()
 
     base, asked = written(clean(vectors), "vectors"), written(clean(queries), "queries")
-    counts = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
-    n_queries = asked.count()
-    shards, blocks = max(1, -(-counts["n"] // shard)), max(1, -(-n_queries // block))
-    width = F.size("vector") == F.lit(counts["width"] or 0)
+    # One row per length of vectors: how many shards and blocks it has.
+    width = F.size("vector").alias("width")
+    parts = lambda df, n, name: df.groupBy(width).agg(F.ceil(F.count(F.lit(1)) / F.lit(n)).cast("long").alias(name))
+    sizes = F.broadcast(written(parts(base, shard, "shards").join(parts(asked, block, "blocks"), "width"), "lengths"))
     # A shard is sent to each block of queries, a block to each shard: both by numbers, in bounded groups.
     place = F.xxhash64("id", "vector")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = base.where(width).select(F.pmod(place, F.lit(shards)).cast("long").alias("shard"), each(blocks).alias("block"), "id", "vector")
-    right = asked.where(width).select(each(shards).alias("shard"), F.pmod(place, F.lit(blocks)).cast("long").alias("block"), "id", "vector")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = base.withColumn("width", width).join(sizes, "width").select(
+        "width", F.pmod(place, F.col("shards")).alias("shard"), each("blocks").alias("block"), "id", "vector")
+    right = asked.withColumn("width", width).join(sizes, "width").select(
+        "width", each("shards").alias("shard"), F.pmod(place, F.col("blocks")).alias("block"), "id", "vector")
+    keys = ["width", "shard", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         _find(k, factor), "query_id long, vec_id long, score double"
     )
     # The best of every shard meet per query, after each has been cut to ``k``.
