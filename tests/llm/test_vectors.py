@@ -80,6 +80,18 @@ def test_lengths_by_themselves(spark):
             assert found_ids(nearest(df, df, factor=1.0, **options)) == by_length(data + extra, data + extra, 5)
 
 
+def test_ids_with_many_vectors(spark):
+    """Vectors of the query's own id, or many of one candidate id, leave room for ``k`` distinct other ids."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(8)
+    near = lambda scale: [float(x) for x in centre + scale * rng.standard_normal(8)]
+    data = [(0, near(0.01)) for _ in range(40)] + [(1, near(0.02)) for _ in range(300)] + [(2 + i // 9, near(0.5)) for i in range(90)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for options in ({}, {"shard": 50, "block": 7}):
+        got = found_ids(nearest(df, df.where("vec_id < 3"), factor=1.0, **options))
+        assert got == by_length(data, [r for r in data if r[0] < 3], 5)
+
+
 def test_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], schema)

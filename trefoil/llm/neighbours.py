@@ -33,6 +33,8 @@ from .common import written
 SHARD = 16384
 BLOCK = 4096
 LEAF = 256
+# Bound on queries times points asked for times components in one search.
+CELLS = 1 << 23
 
 
 class Tree:
@@ -127,26 +129,42 @@ def _find(k: int, factor: float):
         by = np.lexsort((all_ids, point))
         ids, begins = all_ids[by], np.searchsorted(point[by], np.arange(len(raw) + 1))
         norm, query_norm = np.sqrt((raw * raw).sum(1)), np.sqrt((query_raw * query_raw).sum(1))
-        tree = Tree(raw / norm[:, None])
-        # One point more than asked, as the query's own vector may be one; of a point no more ids than that count.
-        index, _ = tree.search(query_raw / query_norm[:, None], k + 1, factor)
-        q = np.repeat(np.arange(len(query_ids)), index.shape[1])
-        i = index.ravel()
-        q, i = q[i >= 0], i[i >= 0]
-        own = 1 + max(np.unique(query_ids, return_counts=True)[1])
-        many = np.minimum(begins[i + 1] - begins[i], k + own)
-        q, i, place = np.repeat(q, many), np.repeat(i, many), np.repeat(begins[i], many)
-        place += np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
-        ids, points = ids[place], i
-        i = np.arange(len(ids))
-        other = ids[i] != query_ids[q]
-        q, i = q[other], i[other]
-        score = (raw[points[i]] * query_raw[q]).sum(1) / (norm[points[i]] * query_norm[q])
-        order = np.lexsort((ids[i], -score, q))
-        q, i, score = q[order], i[order], score[order]
-        first = np.searchsorted(q, q)
-        top = np.arange(len(q)) - first < k
-        return pa.table([query_ids[q[top]], ids[i[top]], score[top]], schema=schema)
+        tree, unit = Tree(raw / norm[:, None]), query_raw / query_norm[:, None]
+
+        def among(who, index):
+            """The ``k`` best other ids on the points ``index`` of the queries ``who``: place in ``who``, id, score."""
+            q = np.repeat(np.arange(len(who)), index.shape[1])
+            i = index.ravel()
+            q, i = q[i >= 0], i[i >= 0]
+            # The ids of a point are distinct: one more than asked, as the query's own id may be one.
+            many = np.minimum(begins[i + 1] - begins[i], k + 1)
+            q, i, place = np.repeat(q, many), np.repeat(i, many), np.repeat(begins[i], many)
+            place += np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+            other = ids[place] != query_ids[who[q]]
+            q, i, found = q[other], i[other], ids[place][other]
+            score = (raw[i] * query_raw[who[q]]).sum(1) / (norm[i] * query_norm[who[q]])
+            # An id once a query, by its nearest vector.
+            order = np.lexsort((-score, found, q))
+            q, found, score = q[order], found[order], score[order]
+            new = np.ones(len(q), bool)
+            new[1:] = (q[1:] != q[:-1]) | (found[1:] != found[:-1])
+            q, found, score = q[new], found[new], score[new]
+            order = np.lexsort((found, -score, q))
+            q, found, score = q[order], found[order], score[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return q[top], found[top], score[top]
+
+        # Several points may belong to one id: queries with fewer than ``k`` other ids ask again for more points.
+        todo, size, kept = np.arange(len(query_ids)), k + 1, []
+        while len(todo):
+            again = []
+            for who in np.array_split(todo, min(len(todo), -(-len(todo) * size * raw.shape[1] // CELLS))):
+                q, found, score = among(who, tree.search(unit[who], size, factor)[0])
+                short = (np.bincount(q, minlength=len(who)) < k) & (size < len(raw))
+                kept.append(pa.table([query_ids[who[q[~short[q]]]], found[~short[q]], score[~short[q]]], schema=schema))
+                again.append(who[short])
+            todo, size = np.concatenate(again), min(size * 4, len(raw))
+        return pa.concat_tables(kept)
     return run
 
 
