@@ -297,3 +297,19 @@ def test_redaction(docs):
     text = next(t for (d, t), _ in got.items() if d == 23)
     assert text == "mail [EMAIL] or [IP], 256.1.1.1, card [CARD], 4111111111111112 [PHONE]."
     assert sum(got.values()) == docs.count()
+
+
+def added(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {texts[r["doc_id"]]: r["spans"] for r in pii.pii_report(df).collect()}
+
+
+def test_pii_learns_from_planted_texts(spark):
+    """Context decides, also in a table without one base span; no other row changes what a text gets."""
+    want = {
+        "call (555) 123-4567 now": "phone:5:19", "tel 555-123-4567": "phone:4:16", "order 555-123-4567": "", "isbn 555-123-4567": "",
+        "mail eve (at) example (dot) com": "email:5:31", "meet (at) noon. Then": "",
+    }
+    assert added(spark, list(want)) == want
+    for text, spans in want.items():
+        assert added(spark, [text]) == {text: spans}
