@@ -313,3 +313,12 @@ def test_pii_learns_from_planted_texts(spark):
     assert added(spark, list(want)) == want
     for text, spans in want.items():
         assert added(spark, [text]) == {text: spans}
+
+
+def test_pii_spans_inside_longer_runs(spark):
+    want = {
+        "card 4111 1111 1111 1111 12/25": "card:5:24", "4111 1111 1111 1111 2027": "card:0:19", "2 4111 1111 1111 1111": "card:2:21",
+        "é🙂 pay 4111-1111-1111-1111-2027": "card:7:26", "+1 555 123 4567 2024-01-01": "phone:0:15", "tel 1 555 123 4567 ok": "phone:6:18",
+        "1024 2048 4096 8192 16384 32768": "", "card 4111 1111 1111 1112 12/25": "", "7" * 5000: "",
+    }
+    assert added(spark, list(want)) == want
