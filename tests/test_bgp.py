@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from trefoil import Graph, bgp, bgp_count, bgp_grouped, join_order, pattern
-from conftest import SOCIAL
+from social import SOCIAL
 
 QUERIES = {
     "star": [("?x", "friends", "?y"), ("?x", "lives", "?z")],
