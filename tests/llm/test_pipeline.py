@@ -7,7 +7,7 @@ from collections import Counter
 import brute
 import corpus_pipeline
 import pytest
-from conftest import texts
+from hostile import texts
 
 from trefoil.llm import pii
 from trefoil.llm.tokens import vocabulary
