@@ -97,6 +97,10 @@ def write_archives(
     )
     is_first = F.col("page").eqNullSafe(F.col("first_page")) & (F.col("url") == F.col("first_url"))
 
+    def response_id(page, url, copy=F.lit(None)):
+        # Only small responses may repeat; their copies are told apart.
+        return _record_id(f"{run}r", page, url, F.col("digest"), copy)
+
     revisits = headers.join(first, "digest").withColumn("n", F.col("copies") - F.when(is_first, 1).otherwise(0))
     revisits = repeat_rows(revisits.select("page", "url", "digest", "size", "first_page", "first_url", "n"), "n")
     revisit_text = _record(
@@ -104,20 +108,17 @@ def write_archives(
         _line("WARC-Record-ID", _record_id(f"{run}v", F.col("page"), F.col("url"), F.monotonically_increasing_id())),
         _line("WARC-Target-URI", F.col("url")),
         F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}"),
-        _line("WARC-Refers-To", _record_id(f"{run}r", F.col("first_page"), F.col("first_url"), F.col("digest"), F.lit(None))),
+        _line("WARC-Refers-To", response_id(F.col("first_page"), F.col("first_url"))),
         _line("WARC-Refers-To-Target-URI", F.col("first_url")), F.lit(f"WARC-Refers-To-Date: {date}{END}"),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         F.lit(f"Content-Type: application/http; msgtype=response{END}"),
         _line("X-Page-ID", F.col("page")), _line("X-Refers-To-Page-ID", F.col("first_page")),
     )
 
-    def response_text(df, small=True):
+    def response_text(df, copy=F.lit(None)):
         return df.select(_record(
             run, date, "response", F.concat(_http(F.col("size")), "body"),
-            _line("WARC-Record-ID", _record_id(
-                f"{run}r", F.col("page"), F.col("url"), F.col("digest"),
-                *[F.when(F.col("size") < min_bytes, F.monotonically_increasing_id())] * small,
-            )),
+            _line("WARC-Record-ID", response_id(F.col("page"), F.col("url"), copy)),
             _line("WARC-Target-URI", F.col("url")),
             _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
             F.lit(f"Content-Type: application/http; msgtype=response{END}"), _line("X-Page-ID", F.col("page")),
@@ -125,7 +126,8 @@ def write_archives(
 
     matched = rows.join(first, "digest", "left")
     alone = F.col("folded").isNull() | (F.col("size") < min_bytes)
-    responses = response_text(matched.where(alone | (is_first & ~F.col("folded"))))
+    small_copy = F.when(F.col("size") < min_bytes, F.monotonically_increasing_id())
+    responses = response_text(matched.where(alone | (is_first & ~F.col("folded"))), small_copy)
     # An original that itself is repeated is written once: its payload is folded by its key.
     folded = rows.join(first.where("folded"), "digest").where(is_first & (F.col("size") >= min_bytes))
     folded = folded.groupBy("digest", "size", "page", "url").agg(F.max("body").alias("body"))
@@ -133,7 +135,7 @@ def write_archives(
         F.lit(f"{_prefix(run)}WARC-Type: warcinfo{END}WARC-Date: {date}{END}WARC-Record-ID: <urn:uuid:{run}>{END}"
               f"Content-Type: application/warc-fields{END}Content-Length: 18{END}{END}format: WARC/1.1{END}")
     ).alias("value"))
-    for part in (information, responses, response_text(folded, False), revisits.select(revisit_text.alias("value"))):
+    for part in (information, responses, response_text(folded), revisits.select(revisit_text.alias("value"))):
         part.write.mode("append").option("lineSep", END + END).text(path)
     return path, run
 
