@@ -33,7 +33,6 @@ of toxic labels; repeated rows are scored alike. Other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 DECAY, SPAN, POWER = 0.9, 5, 2
 WINDOW, STEP = 24, 12
 LANDMARKS = 192
-ROWS, CHARS = 5000, 20_000
+ROWS, CHARS = 4000, 20_000
 LIMIT = 150_000
+CHUNK = 2048
 # Standard errors from which a word marks toxic documents, and rounds of training and choice.
 SUSPECT, ROUNDS = 3.0, 3
 
@@ -148,19 +148,25 @@ class Kernel:
         return out ** POWER
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights (the last one is the offset) of a squared-hinge support vector machine, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    keep = np.full(x.shape[1], ridge)
+def machine(blocks, size: int, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a squared-hinge support vector machine, by Newton steps.
+
+    ``blocks()`` yields (rows, class, cost of a row); the last of the ``size`` columns is the offset's.
+    """
+    keep = np.full(size, ridge)
     keep[-1] = 1e-6
-    w, before = np.zeros(x.shape[1]), None
+    w, before = np.zeros(size), None
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        if before is not None and (active == before).all():
+        left, right, state = np.diag(keep), np.zeros(size), []
+        for x, y, cost in blocks():
+            active = y * (x @ w.astype(np.float32)) < 1
+            some = x[active]
+            left += cost * (some.T @ some)
+            right += cost * y * some.sum(axis=0, dtype=np.float64)
+            state.append(np.packbits(active).tobytes())
+        if state == before:
             break
-        xa = x[active] * cost[active, None]
-        w = np.linalg.solve(xa.T @ x[active] + np.diag(keep), xa.T @ y[active])
-        before = active
+        w, before = np.linalg.solve(left, right), state
     return w
 
 
@@ -212,8 +218,8 @@ class Model:
         fresh = list(needed.difference(self.known))
         if len(self.known) + len(fresh) > limit:
             self.known, fresh = {}, list(needed)
-        for i in range(0, len(fresh), 4096):
-            self.known.update(zip(fresh[i : i + 4096], self._values(fresh[i : i + 4096])))
+        for i in range(0, len(fresh), CHUNK):
+            self.known.update(zip(fresh[i : i + CHUNK], self._values(fresh[i : i + CHUNK])))
         get = self.known.__getitem__
         top = np.array([max((sum(map(get, s)) for s in p), default=0.0) for p in parts]) + self.offset
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.start, -30, 30)))
@@ -222,70 +228,90 @@ class Model:
 def fit(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, seed: int = 0) -> Model:
     """Train on whole labelled texts."""
     toxic = np.array(toxic, bool)
-    if not toxic.any() or toxic.all():
+    if not toxic.any() or toxic.all() or not any(map(sentences, texts)):
         share = float(toxic.mean()) if len(toxic) else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(["..."], np.zeros(1, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
-    bags = [[{w for t in s for w in words(t)} for s in sentences(text)] for text in texts]
-    uses = [Counter(), Counter()]
-    for bag, t in zip(bags, toxic):
-        uses[int(t)].update(set().union(*bag) if bag else ())
-    n = [int((~toxic).sum()), int(toxic.sum())]
+    # Words as numbers, sentence by sentence: ``flat[bounds[i] : bounds[i + 1]]`` are those of sentence i.
+    vocabulary: dict[str, int] = {}
+    flat, sizes, of = [], [], []
+    for k, text in enumerate(texts):
+        for sentence in sentences(text):
+            ids = {vocabulary.setdefault(w, len(vocabulary)) for t in sentence for w in words(t)}
+            flat.append(np.fromiter(sorted(ids), np.int32, len(ids)))
+            of.append(k)
+    names, of = list(vocabulary), np.array(of, np.int64)
+    del vocabulary
+    sizes = np.array([len(f) for f in flat])
+    flat, sentence_of = np.concatenate(flat), np.repeat(np.arange(len(sizes)), sizes)
+    bounds = np.append(0, np.cumsum(sizes))
+    pairs = np.unique(of[sentence_of] * len(names) + flat)
+    held = toxic[pairs // len(names)]
+    uses = [np.bincount(pairs[held == t] % len(names), minlength=len(names)) for t in (False, True)]
+    del pairs, held
     # How much more often toxic documents hold a word, in standard errors.
-    shares = {w: (k / n[1], uses[0][w] / n[0], (k + uses[0][w]) / sum(n)) for w, k in uses[1].items()}
-    lift = {w: (a - b) / np.sqrt(p * (1 - p) + 1e-9) * np.sqrt(n[0] * n[1] / sum(n)) for w, (a, b, p) in shares.items() if len(w) > 2}
-    order = sorted(lift, key=lambda w: (-lift[w], w))
-    plain = sorted((w for w in uses[0] if len(w) > 2 and lift.get(w, 0) <= 1), key=lambda w: (-uses[0][w], w))
-    draw = np.random.default_rng(seed)
-    marks = order[: landmarks // 2]
-    marks += [w for w in plain if w not in set(marks)][: landmarks - len(marks)]
+    n = [int((~toxic).sum()), int(toxic.sum())]
+    share = (uses[0] + uses[1]) / sum(n)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * sum(n) / (n[0] * n[1]))
+    lift = (uses[1] / n[1] - uses[0] / n[0]) / error
+    lift[[len(w) < 3 for w in names]] = -np.inf
+
+    order = sorted(np.flatnonzero(lift > 0), key=lambda i: (-lift[i], names[i]))[: landmarks // 2]
+    plain = sorted(np.flatnonzero((lift <= 1) & np.isfinite(lift)), key=lambda i: (-uses[0][i], names[i]))
+    marks = [names[i] for i in [*order, *plain[: landmarks - len(order)]]]
+    if not marks:
+        marks = ["..."]
     kernel = Kernel(marks)
     values, vectors = np.linalg.eigh(kernel(marks).astype(np.float64))
     sound = values > 1e-6
-    root = vectors[:, sound] / np.sqrt(values[sound])
-
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*uses)))}
-    names = list(vocabulary)
-    near = np.concatenate([kernel(names[i : i + 4096]) for i in range(0, len(names), 4096)]) @ root.astype(np.float32)
+    root = (vectors[:, sound] / np.sqrt(values[sound])).astype(np.float32)
+    near = np.empty((len(names), root.shape[1]), np.float32)
+    for i in range(0, len(names), CHUNK):
+        near[i : i + CHUNK] = kernel(names[i : i + CHUNK]) @ root
+    x = np.ones((len(sizes), root.shape[1] + 1), np.float32)
+    for i in range(len(sizes)):
+        x[i, :-1] = near[flat[bounds[i] : bounds[i + 1]]].sum(axis=0)
 
-    def vector(sentence):
-        return near[[vocabulary[w] for w in sorted(sentence)]].sum(axis=0)
+    near = {i: near[i].copy() for i in np.flatnonzero(lift > SUSPECT)}
 
-    held = [(k, s) for k, bag in enumerate(bags) for s in bag]
-    of = np.array([k for k, _ in held])
-    x = np.stack([vector(s) for _, s in held])
     # At first, the sentences with words that mark toxic documents are suspected.
-    rank = np.array([sum(max(lift.get(w, 0.0) - SUSPECT, 0.0) for w in s) for _, s in held])
+    rank = np.bincount(sentence_of, np.maximum(lift[flat] - SUSPECT, 0.0), len(sizes))
+    draw = np.random.default_rng(seed)
     starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     clean = np.flatnonzero(~toxic[of])
     first_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(of))))
     for _ in range(ROUNDS):
-        # Witnesses: suspected sentences of toxic documents, and the highest of each, unless clean ones reach as high.
+        # Suspected sentences of toxic documents, and the highest of each, unless clean ones reach as high.
         usual = np.quantile(rank[clean], 0.99) if len(clean) else 0.0
         highest = np.maximum.reduceat(rank, starts)[first_of]
         witness = np.flatnonzero(toxic[of] & ((rank > 0) | (rank == highest)) & (rank > usual))
         if not len(witness):
             witness = np.flatnonzero(toxic[of] & (rank == highest))
-        extra = []
+        changed = []
         for k in witness:
-            sentence = held[k][1]
-            word = max(sorted(sentence), key=lambda w: (lift.get(w, 0.0), w))
-            if len(word) > 3 and lift.get(word, 0.0) > SUSPECT:
-                extra.append((k, word, altered(word, draw)))
-        positives = x[witness]
-        if extra:
-            changed = kernel([new for _, _, new in extra]) @ root.astype(np.float32)
-            added = [x[k] - near[vocabulary[word]] + c for (k, word, _), c in zip(extra, changed)]
-            positives = np.concatenate([positives, np.stack(added)])
-        data = np.concatenate([positives, x[clean]])
-        y = np.concatenate([np.ones(len(positives)), -np.ones(len(clean))])
-        cost = np.where(y > 0, len(y) / (2 * len(positives)), len(y) / (2 * max(len(clean), 1)))
-        w = machine(data, y, cost)
-        rank = x @ w[:-1] + w[-1]
+            ids = flat[bounds[k] : bounds[k + 1]]
+            word = ids[lift[ids].argmax()]
+            if len(names[word]) > 3 and lift[word] > SUSPECT:
+                changed.append((k, word, altered(names[word], draw)))
+        parts = [x[witness]]
+        if changed:
+            again = x[[k for k, _, _ in changed]]
+            again[:, :-1] += kernel([new for _, _, new in changed]) @ root - np.stack([near[word] for _, word, _ in changed])
+            parts.append(again)
+        positives = np.concatenate(parts)
+
+        def blocks():
+            total = len(positives) + len(clean)
+            yield positives, 1, total / (2 * max(len(positives), 1))
+            for i in range(0, len(clean), CHUNK):
+                yield x[clean[i : i + CHUNK]], -1, total / (2 * len(clean))
+
+        w = machine(blocks, x.shape[1])
+        rank = (x @ w.astype(np.float32)).astype(np.float64)
     top = np.full(len(texts), w[-1])
     top[of[starts]] = np.maximum.reduceat(rank, starts)
     slope, start = calibration(top, toxic)
-    return Model(marks, (root @ w[:-1]).astype(np.float32), float(w[-1]), slope, start)
+    return Model(marks, (root @ w[:-1].astype(np.float32)).astype(np.float32), float(w[-1]), slope, start)
 
 
 def training_rows(
