@@ -12,7 +12,9 @@ kernel values against the landmarks times the inverse root of the landmarks' own
 kernel matrix. The machine is trained on sentences. A label belongs to a document, so
 sentences of toxic documents are suspected first by their words and then by the
 machine itself; training and suspicion alternate. What is suspected comes a second
-time with a letter put into its strongest word.
+time with a letter put into its strongest word. A word that comes out on the toxic
+side is read again with each of its letters left out, and the highest reading counts,
+so that a letter put in is worth little.
 
 A document's score is that of its highest sentence, calibrated to (0, 1) by a
 logistic curve on training documents. The machine adds up over words, so a worker
@@ -44,6 +46,8 @@ LANDMARKS = 192
 ROWS, CHARS = 4000, 20_000
 LIMIT = 150_000
 CHUNK = 2048
+# Value from which a word is read again without one of its letters.
+NEAR = 1.0
 # Standard errors from which a word marks toxic documents, and rounds of training and choice.
 SUSPECT, ROUNDS = 3.0, 3
 
@@ -206,11 +210,22 @@ class Model:
         """What each token adds to its sentence."""
         parts = [words(t) for t in tokens]
         flat = [w for p in parts for w in p]
-        value = self.kernel(flat) @ self.alpha
+        value = self.kernel(flat).astype(np.float64) @ self.alpha
+        # A word on the toxic side is read again with each letter left out; the highest reading counts.
+        near = np.flatnonzero(value > NEAR)
+        shorter = [flat[i][:k] + flat[i][k + 1 :] for i in near for k in range(len(flat[i]))]
+        if shorter:
+            lengths = np.array([len(flat[i]) for i in near])
+            again = np.maximum.reduceat(self.kernel(shorter).astype(np.float64) @ self.alpha, np.cumsum(lengths) - lengths)
+            value[near] = np.maximum(value[near], again)
         ends = np.cumsum([len(p) for p in parts])
         return np.add.reduceat(value, ends - [len(p) for p in parts]).tolist()
 
     def scores(self, texts: list[str | None], limit: int = LIMIT) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts, limit) + self.start, -30, 30)))
+
+    def margins(self, texts: list[str | None], limit: int = LIMIT) -> np.ndarray:
+        """The machine's value for the highest sentence of each text."""
         if self.kernel is None:
             self.kernel, self.known = Kernel(self.landmarks), {}
         parts = [sentences(t) for t in texts]
@@ -221,8 +236,7 @@ class Model:
         for i in range(0, len(fresh), CHUNK):
             self.known.update(zip(fresh[i : i + CHUNK], self._values(fresh[i : i + CHUNK])))
         get = self.known.__getitem__
-        top = np.array([max((sum(map(get, s)) for s in p), default=0.0) for p in parts]) + self.offset
-        return 1 / (1 + np.exp(-np.clip(self.slope * top + self.start, -30, 30)))
+        return np.array([max((sum(map(get, s)) for s in p), default=0.0) for p in parts]) + self.offset
 
 
 def fit(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, seed: int = 0) -> Model:
@@ -231,7 +245,7 @@ def fit(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, seed: i
     if not toxic.any() or toxic.all() or not any(map(sentences, texts)):
         share = float(toxic.mean()) if len(toxic) else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(["..."], np.zeros(1, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(["..."], np.zeros(1), 0.0, 1.0, float(np.log(share / (1 - share))))
     # Words as numbers, sentence by sentence: ``flat[bounds[i] : bounds[i + 1]]`` are those of sentence i.
     vocabulary: dict[str, int] = {}
     flat, sizes, of = [], [], []
@@ -308,10 +322,9 @@ def fit(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, seed: i
 
         w = machine(blocks, x.shape[1])
         rank = (x @ w.astype(np.float32)).astype(np.float64)
-    top = np.full(len(texts), w[-1])
-    top[of[starts]] = np.maximum.reduceat(rank, starts)
-    slope, start = calibration(top, toxic)
-    return Model(marks, (root @ w[:-1].astype(np.float32)).astype(np.float32), float(w[-1]), slope, start)
+    model = Model(marks, root.astype(np.float64) @ w[:-1], float(w[-1]), 1.0, 0.0)
+    model.slope, model.start = calibration(model.margins(texts), toxic)
+    return model
 
 
 def training_rows(
