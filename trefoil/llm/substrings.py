@@ -37,7 +37,7 @@ from .suffixes import permuted_common_prefixes, suffix_array
 LENGTH = 400
 ANCHOR = 100
 HOT = 20_000
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 _CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 
@@ -80,7 +80,7 @@ def _scan(length: int, anchor: int):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in _few(batches):
             sizes, digests, packed, found = [], [], [], []
             offsets, parts = [0], []
             for text in batch.column("_text").to_pylist():
@@ -110,10 +110,17 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
+def _few(batches, rows: int = 256):
+    """Slices of batches, so that a task holds the texts of a few rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _cut(length: int):
     """Bytes of the stretches asked for, read from their documents."""
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             data = [_unpack(x) for x in batch.column("packed").to_pylist()]
             rows = {c: [] for c in ("shard", "anchor", "d1", "d2", "bytes")}
             for text, wanted in zip(data, batch.column("wanted").to_pylist()):
@@ -173,7 +180,7 @@ def _window_digests(length: int):
 
 def _remove(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             sizes, removed, spans, kept = [], [], [], []
             for packed, marks in zip(batch.column("packed").to_pylist(), batch.column("marks")):
                 data = np.frombuffer(_unpack(packed), np.uint8)

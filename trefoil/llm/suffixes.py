@@ -13,6 +13,7 @@ import numpy as np
 
 # Below this length sorting growing prefixes is quicker than another round of induction.
 _SMALL = 1 << 17
+_SLICE = 1 << 15
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -164,17 +165,19 @@ def permuted_common_prefixes(s: np.ndarray, order: np.ndarray) -> tuple[np.ndarr
     other = before[place]
     shared = np.zeros(len(place), np.int32)
     padded = np.concatenate([s.astype(np.int32), np.full(64, -1, np.int32)])
-    live, step = np.arange(len(place)), 4
-    while len(live):
-        room = n - np.maximum(place[live], other[live]) - shared[live]
-        at = np.arange(step)
-        x = padded[np.minimum((place[live] + shared[live])[:, None] + at, n)]
-        y = padded[np.minimum((other[live] + shared[live])[:, None] + at, n)]
-        same = (x == y) & (at < room[:, None])
-        run = np.where(same.all(axis=1), step, same.argmin(axis=1))
-        shared[live] += run
-        live = live[run == step]
-        step = min(64, step * 2)
+    # A slice of the places at a time: the tables of a step hold up to 64 numbers a place.
+    for begin in range(0, len(place), _SLICE):
+        live, step = np.arange(begin, min(begin + _SLICE, len(place))), 4
+        while len(live):
+            room = n - np.maximum(place[live], other[live]) - shared[live]
+            at = np.arange(step, dtype=np.int32)
+            x = padded[np.minimum((place[live] + shared[live])[:, None] + at, n)]
+            y = padded[np.minimum((other[live] + shared[live])[:, None] + at, n)]
+            same = (x == y) & (at < room[:, None])
+            run = np.where(same.all(axis=1), step, same.argmin(axis=1))
+            shared[live] += run
+            live = live[run == step]
+            step = min(64, step * 2)
     best = np.full(n, -1, np.int32)
     best[free] = i[free]
     best[place] = place + shared
