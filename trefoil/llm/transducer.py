@@ -71,7 +71,7 @@ def _fields(data: bytes):
 class Transducer:
     """A model file, compiled."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 150_000):
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
         trainer = dict(_fields(next((v for k, v in top if k == _TRAINER), b"")))
@@ -216,7 +216,9 @@ class Transducer:
             if ids is None:
                 if len(known) >= self.limit:
                     known.clear()
-                ids = known[run] = self._run(run)
+                ids = self._run(run)
+                if len(run) <= PREFIX:
+                    known[run] = ids
             parts.append(ids)
         return np.frombuffer(b"".join(parts), "<u4")
 
