@@ -9,7 +9,7 @@ from trefoil.sources import warehouse
 from trefoil.sources.shared import new_path
 
 from .answers import CHAIN, CYCLE, SNOWFLAKE, _CHAIN_SQL, _CYCLE_SQL
-from .registry import TRIPLES, graph, on_graph, query, stored_graph, written_text, per_property
+from .registry import TRIPLES, _once, graph, on_graph, query, stored_graph, written_text, per_property
 
 _ALL = f"with {TRIPLES} select sub, prop, obj from triples"
 
@@ -85,6 +85,47 @@ def compact_property(g):
     return table.select("sub", "part", F.size(array).cast("long").alias("n"), F.array_join(array, "|").alias("objs"))
 
 
+# --- heavy values ------------------------------------------------------------------------
+
+
+def _divided_graph(spark, folder):
+    # Any value with a 256th of its column counts as heavy, however small the tables.
+    return _once("divided", spark, folder, lambda: warehouse.graph(spark, folder).save(new_path(spark, "divided"), least_heavy=1))
+
+
+@query("heavy_values", f"""with {TRIPLES}, v as (
+  select prop, 'sub' as side, sub as value, count(*) as n from triples group by all
+  union all select prop, 'obj', obj, count(*) from triples group by all),
+w as (select * from v union all select null, side, value, sum(n) from v group by all)
+select prop, side, value, cast(n as bigint) as n, cast(total as bigint) as total from (
+  select *, sum(n) over (partition by prop, side) as total from w) where n * 256 >= total""")
+def heavy_values(spark, folder):
+    return _divided_graph(spark, folder)._heavy_table
+
+
+@query("bgp_divided", f"""with {TRIPLES} select a.sub as c, a.obj as n, b.obj as r, d.obj as m from triples a
+join triples b on b.sub = a.obj and b.prop = 'g__inRegion' join triples d on d.sub = a.obj and d.prop = 'g__name'
+where a.prop = 'g__nation'""")
+def bgp_divided(spark, folder):
+    # Nations are heavy objects; both joins on ?n share one salt.
+    g = _divided_graph(spark, folder)
+    return bgp(g, [("?c", "g__nation", "?n"), ("?n", "g__inRegion", "?r"), ("?n", "g__name", "?m")])
+
+
+@query("bgp_divided_count", per_property(f"select count(*) as n {_CYCLE_SQL}"))
+def bgp_divided_count(spark, folder):
+    return bgp_count(_divided_graph(spark, folder), CYCLE)
+
+
+@query("bgp_divided_groups", f"""with {TRIPLES}, x as (select sub, obj from triples where prop = 'rdf__type'),
+y as (select obj as c, count(*) as k from x group by 1)
+select sub as a, k as n from x join y on x.obj = y.c""")
+def bgp_divided_groups(spark, folder):
+    # Every subject with the number of subjects of its class: a class may hold most of them.
+    g = _divided_graph(spark, folder)
+    return t.bgp_grouped(g, [("?a", "rdf__type", "?c"), ("?b", "rdf__type", "?c")], ["?a"])
+
+
 # --- Bloom filters -----------------------------------------------------------------------
 
 

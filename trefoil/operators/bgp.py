@@ -19,6 +19,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.order import join_order
+from .division import Division
 from .graph import Graph
 from .numbering import repeat_rows
 from .pattern import Pattern, bind, is_var, pattern, var_name, variables
@@ -121,7 +122,8 @@ def bgp(
 
     pairs, constants = _split_filters(patterns, filters)
     tables = _tables(g, patterns, reductions, candidates)
-    rows, bound, factors = None, set(), []
+    rows, bound, factors, done = None, set(), [], []
+    division = Division(g)
     for i in join_order(patterns, _sizes(g, patterns, stats)):
         vars_ = variables(patterns[i])
         if not vars_:
@@ -132,11 +134,12 @@ def bgp(
         if rows is None:
             rows = table
         elif shared:
-            rows = rows.join(table, shared)
+            rows = division.join(rows, table, shared, done, patterns[i])
         elif allow_cross:
             rows = rows.crossJoin(table)
         else:
             raise ValueError(f"pattern {patterns[i]} shares no variable; pass allow_cross=True")
+        done.append(patterns[i])
         before, bound = bound, bound | set(vars_)
         for a, b in pairs:
             if {a, b} <= bound and not {a, b} <= before and not {a, b} <= set(vars_):
@@ -169,34 +172,44 @@ def _sum_weights(rows: DataFrame, keys) -> DataFrame:
     return rows.groupBy(*keys).agg(weight.alias(_W))
 
 
-def _weighted(tables, patterns, order, by) -> DataFrame:
-    """``by`` columns and a weight for one connected group of patterns."""
-    rows = None
+def _weighted(g: Graph, tables, patterns, order, by) -> DataFrame:
+    """``by`` columns and a weight for one connected group of patterns.
+
+    Weights of a heavy value are summed by (value, salt) on the side that has its
+    rows; the summed side is copied for every salt, and the last sum merges them.
+    """
+    rows, division = None, Division(g)
     for step, i in enumerate(order):
         table = tables[i]
         later = set(by).union(*[variables(patterns[j]) for j in order[step + 1:]])
         vars_ = variables(patterns[i])
-        bound = [] if rows is None else [c for c in rows.columns if c != _W]
+        bound = [] if rows is None else [c for c in rows.columns if c != _W and c not in division.extra(rows.columns)]
         keys = [v for v in vars_ if v in bound]
         keep = [v for v in vars_ if v in keys or v in later]
         fans_out = set(keep) - set(keys)
         if rows is None:
             rows = table
             continue
-        if len(keep) < len(vars_) or not fans_out:
+        summed = len(keep) < len(vars_) or not fans_out
+        if summed:
             table = _sum_weights(table, keep).withColumnRenamed(_W, "_right")
         needed = [v for v in bound if v in keys or v in later]
+        merged = False
         if len(needed) < len(bound):
             # Before a join that multiplies rows, merge those that differ only in dropped variables.
-            rows = _sum_weights(rows, needed) if fans_out else rows.select(*needed, *[c for c in rows.columns if c == _W])
-        rows = rows.join(table, keys)
+            salted = division.extra(rows.columns)
+            kept = [*needed, *[c for c in salted if c in map(division.column, needed)]]
+            merged = bool(fans_out) and kept == keys
+            rows = _sum_weights(rows, kept) if fans_out else rows.select(*kept, *[c for c in rows.columns if c == _W])
+        # A table summed by its one key has a row for each value; a wider one may still hold a heavy value often.
+        rows = division.join(rows, table, keys, [patterns[j] for j in order[:step]], patterns[i], summed and len(keep) == 1, merged)
         if "_right" in rows.columns:
             product = F.col("_right") * F.col(_W) if _W in rows.columns else F.col("_right")
             rows = rows.withColumn(_W, product).drop("_right")
     return _sum_weights(rows, by)
 
 
-def _grouped_unfiltered(tables, patterns, sizes, by, allow_cross) -> DataFrame:
+def _grouped_unfiltered(g, tables, patterns, sizes, by, allow_cross) -> DataFrame:
     order = join_order(patterns, sizes)
     groups = _connected(patterns)
     if len(groups) > 1 and not allow_cross:
@@ -205,7 +218,7 @@ def _grouped_unfiltered(tables, patterns, sizes, by, allow_cross) -> DataFrame:
     answer = None
     for members in groups:
         vars_ = {v for i in members for v in variables(patterns[i])}
-        part = _weighted(tables, patterns, [i for i in order if i in members], [v for v in by if v in vars_])
+        part = _weighted(g, tables, patterns, [i for i in order if i in members], [v for v in by if v in vars_])
         if len(part.columns) == 1:
             factors.append(part)
         elif answer is None:
@@ -259,7 +272,7 @@ def bgp_grouped(
         for chosen in combinations(excluded, size):
             merged, merged_tables, kept = _merge_variables(patterns, tables, chosen, names)
             columns = list(dict.fromkeys(kept[n] for n in names))
-            part = _grouped_unfiltered(merged_tables, merged, sizes, columns, allow_cross)
+            part = _grouped_unfiltered(g, merged_tables, merged, sizes, columns, allow_cross)
             part = part.select(*[F.col(kept[n]).alias(n) for n in names], (F.col(_N) * (-1) ** size).alias(_N))
             signed.append(part)
     answer = signed[0]

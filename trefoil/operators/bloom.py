@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.shared import materialise
 from .graph import Graph
-from .statistics import property_stats
+from .statistics import stats_of_values, value_counts
 
 CHUNK_WORDS = 4096
 CHUNK_BITS = 64 * CHUNK_WORDS
@@ -109,15 +109,15 @@ def filter_bits(n: Column, fpp: float) -> Column:
 def build_blooms(g: Graph, fpp: float = 0.01, props=None) -> Blooms:
     """Filters for both columns of every property (or of ``props``).
 
-    Each is sized by the distinct count of its own column. Values are made
-    distinct before their positions are exploded, and words are combined on the
-    map side, so neither hot values nor copies reach one task.
+    Each is sized by the distinct count of its own column. Positions come from
+    the distinct values, stored or counted, and words are combined on the map
+    side, so neither hot values nor copies reach one task.
     """
-    stats = g.stats if g.stats is not None else property_stats(g)
-    triples = g.triples
+    distinct = g.distinct if g.distinct is not None else materialise(value_counts(g), "values")
+    stats = g.stats if g.stats is not None else stats_of_values(distinct)
     if props is not None:
         stats = stats.where(F.col("prop").isin(list(props)))
-        triples = triples.where(F.col("prop").isin(list(props)))
+        distinct = distinct.where(F.col("prop").isin(list(props)))
     sides = F.inline(F.array(
         F.struct(F.lit("sub").alias("side"), F.col("n_sub").alias("n")),
         F.struct(F.lit("obj").alias("side"), F.col("n_obj").alias("n")),
@@ -127,11 +127,7 @@ def build_blooms(g: Graph, fpp: float = 0.01, props=None) -> Blooms:
     )
     blooms = Blooms(fpp, meta, None)
 
-    ends = F.inline(F.array(
-        F.struct(F.lit("sub").alias("side"), F.col("sub").alias("value")),
-        F.struct(F.lit("obj").alias("side"), F.col("obj").alias("value")),
-    ))
-    values = triples.select("prop", ends).distinct().join(meta, ["prop", "side"])
+    values = distinct.select("prop", "side", "value").join(meta, ["prop", "side"])
     positions = F.array(*bit_positions(F.col("value"), F.col("m"), blooms.hashes))
     key = ["prop", "side", "chunk", "slot"]
     bits = values.select("prop", "side", F.explode(positions).alias("pos")).select(

@@ -79,6 +79,10 @@ def candidate_properties_by_join(
         return found.where(in_chunk(F.col("_value"), blooms.hashes, F.col("_m"))).select("prop").distinct()
     # Written, the values leave both sides as bare shuffles, and a hot value of the triples is divided.
     wanted = materialise(wanted, "values")
+    if g.distinct is not None:
+        # Stored distinct values hold a hot one once for each property.
+        stored = g.distinct.where(F.col("side") == side).select("prop", F.col("value").alias(side))
+        return stored.join(wanted, side, "left_semi").select("prop").distinct()
     return g.triples.select("prop", side).join(wanted, side, "left_semi").select("prop").distinct()
 
 
