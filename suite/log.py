@@ -7,7 +7,7 @@ from trefoil.plans.workload import _own_signatures
 from trefoil.sources import warehouse
 from trefoil.sources.shared import new_path
 
-from .registry import RUNS, WORKLOAD, graph, query, written_text
+from .registry import RUNS, TRIPLES, WORKLOAD, graph, query, written_text
 
 _LOG_SQL = """log(query_id, query) as (select o_orderkey + 1, case left(o_orderpriority, 1)
   when '1' then 'PREFIX g: <http://graph.example/> SELECT ?p WHERE { <order/' || o_orderkey || '> g:hasPart ?p . ?p g:brand ?b . }'
@@ -57,6 +57,78 @@ def extracted_features(spark, folder):
     return t.query_features(t.extract_patterns(log, warehouse.PREFIXES))
 
 
+@query("query_heads", f"""with {_LOG_SQL}
+select query_id, case when query like '%?p WHERE%' then '?p' when query like '%*%' then '?o'
+  when query like '%DISTINCT%' then '?s' when query like '%?c ?n WHERE%' then '?c ?n' else '?a ?b' end as variables,
+  query like '%DISTINCT%' as "distinct", case when query like '%FILTER%' then '?a != ?b' else '' end as filters from log""")
+def query_heads(spark, folder):
+    heads = t.query_heads(warehouse.query_log(spark, folder), warehouse.PREFIXES)
+    pairs = F.transform("filters", lambda f: F.concat_ws(" != ", f["a"], f["b"]))
+    return heads.select("query_id", F.array_join("select", " ").alias("variables"), "distinct", F.array_join(pairs, " ").alias("filters"))
+
+
+# The log in other shapes: predicate and object lists, the word "a", quotes and marks inside literals, comments.
+_SHAPED = """PREFIX g: <http://graph.example/> # all { of it
+SELECT * { <order/%1$s> a <http://graph.example/class/Order> ; g:status "a \\"b\\" . ; { c" , "x y"@en ;
+  g:priority '%1$s' . # no ?pattern here .
+  $c g:refersTo$c }"""
+
+
+@query("extract_shapes", """with o as (select o_orderkey + 1 as query_id, 'order/' || o_orderkey as s from orders)
+select query_id, query_id as query_seq, 0 as pos, s, 'rdf__type' as p, 'cls__Order' as o from o
+union all select query_id, query_id, 1, s, 'g__status', '"a \\"b\\" . ; { c"' from o
+union all select query_id, query_id, 2, s, 'g__status', '"x y"@en' from o
+union all select query_id, query_id, 3, s, 'g__priority', '"' || (query_id - 1) || '"' from o
+union all select query_id, query_id, 4, '?c', 'g__refersTo', '?c' from o""")
+def extract_shapes(spark, folder):
+    log = warehouse.table(spark, folder, "orders").select(
+        (F.col("o_orderkey") + 1).alias("query_id"), (F.col("o_orderkey") + 1).alias("query_seq"),
+        F.format_string(_SHAPED, "o_orderkey").alias("query"))
+    return t.extract_patterns(log, warehouse.PREFIXES)
+
+
+@query("rejected_queries", f"""with {_LOG_SQL}
+select query_id, query_id as query_seq, case when query like '%?p WHERE%' then 'words after the group'
+  when query like '%*%' then 'nested group' when query like '%DISTINCT%' then 'unreadable characters'
+  when query like '%?c ?n WHERE%' then 'other filter' end as reason
+from log where query like '%?p WHERE%' or query like '%*%' or query like '%DISTINCT%' or query like '%?c ?n WHERE%'""")
+def rejected_queries(spark, folder):
+    # Each form of the log but one made to ask for more; that one stays readable.
+    text = F.col("query")
+    more = (
+        F.when(text.contains("?p WHERE"), F.concat(text, F.lit(" LIMIT 5")))
+        .when(text.contains("*"), F.replace(text, F.lit(" }"), F.lit(" OPTIONAL { ?o g:priority ?p } }")))
+        .when(text.contains("DISTINCT"), F.replace(text, F.lit(". }"), F.lit('. ?r g:name "open }')))
+        .when(text.contains("?c ?n WHERE"), F.replace(text, F.lit(". }"), F.lit('FILTER regex(?n, "nation") }')))
+        .otherwise(text)
+    )
+    return t.rejected_queries(warehouse.query_log(spark, folder).withColumn("query", more))
+
+
+@query("run_from_log", f"""with {TRIPLES},
+f as (select left(o_orderpriority, 1) as form, min(o_orderkey) as k from orders group by 1),
+q as (select form, k, o_custkey, o_orderstatus from f join orders on o_orderkey = k),
+n(form, n) as (
+  select form, (select count(*) from triples a join triples b on b.sub = a.obj and b.prop = 'g__brand'
+    where a.prop = 'g__hasPart' and a.sub = 'order/' || k) from q where form = '1'
+  union all select form, (select count(*) from triples a join triples b on b.sub = a.sub and b.prop = 'g__status'
+    and b.obj = '"' || o_orderstatus || '"' where a.prop = 'g__placedBy' and a.obj = 'customer/' || o_custkey) from q where form = '2'
+  union all select form, (select count(distinct a.obj) from triples a join triples b on b.sub = a.obj and b.prop = 'g__nation'
+    join triples c on c.sub = b.obj and c.prop = 'g__inRegion' where a.prop = 'g__hasSupplier' and a.sub = 'order/' || k) from q where form = '3'
+  union all select form, (select count(*) from triples a join triples b on b.sub = a.obj and b.obj = a.obj
+    join triples c on c.sub = a.obj and c.prop = 'g__nation' where a.prop = 'g__placedBy' and a.sub = 'order/' || k) from q where form = '4'
+  union all select form, (select count(*) from triples a join triples b on a.obj = b.obj and b.prop = 'g__refersTo' and a.sub <> b.sub
+    where a.prop = 'g__refersTo') from q where form = '5')
+select k + 1 as query_id, n as num_results from n join q using (form)""")
+def run_from_log(spark, folder):
+    # The first text of each form, run as it asks: with its filter, its DISTINCT and its SELECT list.
+    form = F.substring("o_orderpriority", 1, 1)
+    first = warehouse.table(spark, folder, "orders").groupBy(form).agg((F.min("o_orderkey") + 1).alias("query_id")).select("query_id")
+    log = warehouse.query_log(spark, folder).join(first, "query_id")
+    runs = t.run_workload(graph(spark, folder), t.logged_queries(log, warehouse.PREFIXES))
+    return runs.select(F.col("query").cast("long").alias("query_id"), "num_results")
+
+
 @query("query_batch", f"with {_LOG_SQL} select 'batch-' || query_id as query_name, query_id as query_seq, query from log")
 def query_batch(spark, folder):
     path = written_text(_log_text(spark, folder), "batch", "query_seq")

@@ -15,9 +15,10 @@ from .operators.unbound import (
 from .plans.comparison import cold_queries, mean_time_by_class, mean_time_by_joins, mean_time_by_size, rank_aligned
 from .plans.mining import frequent_patterns, similar_properties
 from .plans.order import join_order
-from .plans.runner import run_workload
+from .plans.runner import answer_count, run_workload
+from .plans.texts import LoggedQuery, extract_patterns, logged_queries, query_heads, rejected_queries
 from .plans.workload import (
-    candidate_signatures, extract_patterns, join_pairs, join_variables, pattern_lists, query_features,
+    candidate_signatures, join_pairs, join_variables, pattern_lists, query_features,
     reduction_signatures, sample_slices, warm_cold, workload_sample,
 )
 from .sources.lines import numbered_lines, zip_lines

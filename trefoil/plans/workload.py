@@ -11,63 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.querytext import query_class
 from ..functions.signatures import SIDE_TAGS, signature
-from ..functions.terms import Prefixes, is_literal, is_variable, shorten, strip_brackets
+from ..functions.terms import is_literal, is_variable
 from ..sources.shared import materialise
 
-# One term: <iri>, "literal" with tag or datatype, or a plain word (variable, prefixed name).
-_TERM = r'(<[^>]*>|"[^"]*"(?:@[\w-]+|\^\^<[^>]*>|\^\^[\w:-]+)?|[^\s{}<>"]*[^\s{}<>".])'
-_PATTERN = rf"{_TERM}\s+{_TERM}\s+{_TERM}\s*(?:\.|$)"
-
-
-def extract_patterns(query_log: DataFrame, prefixes: Prefixes = ()) -> DataFrame:
-    """Workload rows of plain ``SELECT ... WHERE { ... }`` texts.
-
-    ``query_log`` has ``(query_id, query_seq, query)``. Names are expanded with
-    the text's own PREFIX and BASE lines and then shortened with ``prefixes``,
-    exactly like stored terms. FILTER clauses are left out. This splits plain
-    texts; it is no grammar of the query language.
-    """
-    text = F.col("query")
-    prefix = r"(?i)prefix\s+([\w-]*):\s*<([^>]*)>"
-    names = F.regexp_extract_all(text, F.lit(prefix), 1)
-    # Of a prefix declared twice the last declaration holds, as a map takes no key twice.
-    last = F.filter(
-        F.arrays_zip(names.alias("name"), F.regexp_extract_all(text, F.lit(prefix), 2).alias("full"), F.transform(names, lambda n, i: i + 1).alias("at")),
-        lambda d: ~F.exists(F.slice(names, d["at"] + 1, F.size(names)), lambda n: n == d["name"]),
-    )
-    declared = F.map_from_arrays(F.transform(last, lambda d: d["name"]), F.transform(last, lambda d: d["full"]))
-    body = F.regexp_extract(text, r"(?s)\{(.*)\}", 1)
-    head = query_log.select(
-        "query_id", "query_seq", declared.alias("_declared"),
-        F.regexp_extract(text, r"(?i)base\s+<([^>]*)>", 1).alias("_base"),
-        F.trim(F.regexp_replace(body, r"(?i)filter\s*\([^)]*\)\s*\.?", " ")).alias("_body"),
-    )
-    rows = head.select(
-        "query_id", "query_seq", "_declared", "_base",
-        F.posexplode(F.regexp_extract_all("_body", F.lit(_PATTERN), 0)).alias("pos", "_text"),
-    )
-    # One step per select: each reads plain columns, so no long expression is evaluated twice.
-    names = ("s", "p", "o")
-    rows = rows.select("query_id", "query_seq", "pos", "_declared", "_base", *[
-        F.regexp_extract("_text", _PATTERN, i + 1).alias(n) for i, n in enumerate(names)
-    ])
-
-    def declared_name(c: Column) -> Column:
-        name = F.substring_index(c, ":", 1)
-        full = F.concat(F.try_element_at("_declared", name), c.substr(F.length(name) + 2, F.length(c)))
-        return F.when(c.rlike(r'^[^<"?].*:|^:'), F.coalesce(full, c)).otherwise(c)
-
-    def absolute(c: Column) -> Column:
-        # Relative <x> are resolved only where the text names a base.
-        relative = c.startswith("<") & ~c.contains("://") & (F.col("_base") != "")
-        return F.when(relative, F.concat("_base", strip_brackets(c))).otherwise(strip_brackets(c))
-
-    fixed = ["query_id", "query_seq", "pos"]
-    rows = rows.select(*fixed, "_base", *[declared_name(F.col(n)).alias(n) for n in names])
-    rows = rows.select(*fixed, *[absolute(F.col(n)).alias(n) for n in names])
-    return rows.select(*fixed, *[shorten(n, prefixes).alias(n) for n in names])
-
-
 def _ends(workload: DataFrame) -> DataFrame:
     """Long form: ``(query_id, query_seq, var, pos, prop, side)``, variables only."""
     ends = F.inline(F.array(
