@@ -225,11 +225,18 @@ sized as (select query_id from items group by 1 having count(*) >= 2),
 pairs as (select a.p || '|' || b.p as items, count(*) as freq from items a join items b on a.query_id = b.query_id
   and a.p < b.p group by 1),
 threes as (select a.p || '|' || b.p || '|' || c.p as items, count(*) as freq from items a
-  join items b on a.query_id = b.query_id and a.p < b.p join items c on b.query_id = c.query_id and b.p < c.p group by 1)
-select items, freq from (select * from pairs union all select * from threes) where freq >= ceil({MIN_SUPPORT} * (select count(*) from sized))""")
+  join items b on a.query_id = b.query_id and a.p < b.p join items c on b.query_id = c.query_id and b.p < c.p group by 1),
+larger as (
+  -- A set of four or more is frequent only where its sets of three are; orders have at most seven lines.
+  select string_agg(items[i], '|' order by i) as items, qid from (
+    select query_id as qid, list_sort(list(p)) as items from items group by 1 having count(*) >= 4) q,
+    (select range as mask from range(1, 128)) m, unnest(range(1, 8)) u(i)
+  where (mask >> (i - 1)) & 1 = 1 and i <= len(items) and mask < (1 << len(items)) and bit_count(mask) >= 4 group by qid, mask),
+more as (select items, count(*) as freq from larger group by 1)
+select items, freq from (select * from pairs union all select * from threes union all select * from more) where freq >= ceil({MIN_SUPPORT} * (select count(*) from sized))""")
 def frequent_patterns(spark, folder):
     found = t.frequent_patterns(warehouse.workload(spark, folder), MIN_SUPPORT)
-    return found.where(F.size("items") <= 3).select(F.array_join("items", "|").alias("items"), "freq")
+    return found.select(F.array_join("items", "|").alias("items"), "freq")
 
 
 @query("similar_properties_statement", f"""with {WORKLOAD} select 10 as n, true as all_known, false as has_itself, true as in_range""")
@@ -269,18 +276,21 @@ def representative_per_class(spark, folder):
     return t.workload_sample(log, 1, 18).select("query_id", "query_class")
 
 
-@query("sample_slices", """with n as (select least(2000, (select 2 * count(*) from lineitem)) as total)
-select slice, least(500, total - slice * 500) as n, 0 as strays from n, (values (0), (1), (2), (3)) v(slice)
-where total > slice * 500""")
+_SAMPLE_SQL = f"""{TRIPLES},
+numbered as (select sub, prop, obj, row_number() over (partition by sub, prop, obj) as k from triples),
+drawn as (select *, md5(concat_ws(chr(1), '0', sub, prop, obj, k::varchar)) as draw from numbered order by draw limit 2000),
+kept as (select * from drawn where not (obj like '"%' and obj not like '%"')),
+sample as (select sub, prop, obj, cast((row_number() over (order by draw) - 1) // 500 as int) as slice from kept)"""
+
+
+@query("sample_slices", f"with {_SAMPLE_SQL} select * from sample")
 def sample_slices(spark, folder):
-    g = graph(spark, folder)
-    triples = t.union_properties(g, ["g__hasPart", "g__hasSupplier"])
-    sample = t.sample_slices(triples, 2000, 500, seed=0)
-    known = triples.distinct().withColumn("known", F.lit(1))
-    found = sample.join(known, ["sub", "prop", "obj"], "left")
-    return found.groupBy("slice").agg(
-        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count("known")).cast("int").alias("strays")
-    )
+    return t.sample_slices(graph(spark, folder).triples, 2000, 500, seed=0)
+
+
+@query("sample_properties", f"with {_SAMPLE_SQL} select prop, count(*) as n from sample group by 1")
+def sample_properties(spark, folder):
+    return t.sample_properties(t.sample_slices(graph(spark, folder).triples, 2000, 500, seed=0))
 
 
 # --- run tables --------------------------------------------------------------------------

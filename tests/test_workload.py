@@ -132,6 +132,21 @@ def test_samples(spark):
     assert all(sizes[i] == 30 for i in range(max(sizes)))
 
 
+def test_sample_does_not_depend_on_the_layout(spark):
+    triples = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, "hot").otherwise(F.col("id").cast("string")).alias("sub"),
+        F.concat(F.lit("p"), F.col("id") % 3).alias("prop"), F.lit("o").alias("obj"),
+    )
+    one, many = [
+        sorted(map(tuple, t.sample_slices(triples.repartition(k), 300, 100, seed=5).collect())) for k in (1, 64)
+    ]
+    assert one == many and len(one) == 300
+    other = sorted(map(tuple, t.sample_slices(triples, 300, 100, seed=6).collect()))
+    assert other != one
+    counted = {r["prop"]: r["n"] for r in t.sample_properties(t.sample_slices(triples, 300, 100, seed=5)).collect()}
+    assert counted == Counter(r[1] for r in one)
+
+
 def test_sample_draws_rows_not_values(spark):
     # Copies make up a third of the rows and about that of the sample.
     triples = spark.range(3000).select(

@@ -19,7 +19,7 @@ from .plans.runner import answer_count, run_workload
 from .plans.texts import LoggedQuery, extract_patterns, logged_queries, query_heads, rejected_queries
 from .plans.workload import (
     candidate_signatures, join_pairs, join_variables, pattern_lists, query_features,
-    reduction_signatures, sample_slices, warm_cold, workload_sample,
+    reduction_signatures, sample_properties, sample_slices, warm_cold, workload_sample,
 )
 from .sources.lines import numbered_lines, zip_lines
 from .sources.querylog import read_query_batch, read_query_log

@@ -177,18 +177,31 @@ def workload_sample(
 def sample_slices(triples: DataFrame, n: int = 2000, size: int = 500, seed: int = 0) -> DataFrame:
     """A random sample of ``n`` triples in disjoint slices of ``size`` rows.
 
-    Rows, not values, are drawn: copies of a triple have separate chances.
-    Literals that do not end in their quote are dropped after drawing. Only the
-    sample itself is numbered in one task; its size is the parameter ``n``.
+    Every copy of a triple has a digest of its own, made of the seed, the triple and
+    the copy's number; the ``n`` smallest are drawn. So a seed fixes the sample, however
+    the rows are stored. Each task keeps its ``n`` smallest, and only those meet. Literals
+    that do not end in their quote are dropped after drawing. The sample itself is
+    numbered in one task; its size is the parameter ``n``.
     """
     from pyspark.sql import Window
 
-    drawn = triples.withColumn("_draw", F.rand(seed)).orderBy("_draw").limit(n)
+    counted = triples.groupBy("sub", "prop", "obj").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_n - 1) div 65536"))))
+    # Two explodes, so that no array is longer than a block, whatever the number of copies.
+    last = F.least(F.col("_n"), (F.col("_block") + 1) * 65536)
+    numbered = numbered.withColumn("_copy", F.explode(F.sequence(F.col("_block") * 65536 + 1, last)))
+    draw = F.md5(F.concat_ws("\x01", F.lit(str(seed)), "sub", "prop", "obj", F.col("_copy").cast("string")))
+    drawn = numbered.select("sub", "prop", "obj", draw.alias("_draw")).orderBy("_draw").limit(n)
     kept = drawn.where(~(is_literal("obj") & ~F.col("obj").endswith('"')))
-    place = F.row_number().over(Window.orderBy("_draw", "sub", "prop", "obj"))
+    place = F.row_number().over(Window.orderBy("_draw"))
     return kept.withColumn("slice", F.floor((place - 1) / size).cast("int")).drop("_draw")
 
 
+def sample_properties(sample: DataFrame) -> DataFrame:
+    """``(prop, n)``: the properties that a sample holds, with their rows."""
+    return sample.groupBy("prop").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pattern_lists(workload: DataFrame):
     """Yield ``(query_id, [patterns])`` in order of execution, for running them.
 
