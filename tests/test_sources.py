@@ -171,3 +171,25 @@ def test_numbering(spark):
     assert {r["rank"]: r["id"] for r in ranked} == {k + 1: i for k, i in enumerate(expected)}
     repeated = repeat_rows(spark.createDataFrame([("a", 3), ("b", 0), ("c", 1)], "k string, n long"), "n", block=2)
     assert Counter(r["k"] for r in repeated.collect()) == Counter({"a": 3, "c": 1})
+
+
+def test_delimited_log_with_other_line_ends(spark, tmp_path):
+    from trefoil import read_query_log
+
+    (tmp_path / "log").write_bytes(b"SELECT ?a\r\n{ }\r\n#EOQ#\r\nSELECT ?b { }\n#EOQ# \t\nSELECT ?c { }\n#EOQ#\r\n \r\n")
+    got = read_query_log(spark, str(tmp_path / "log"), record_sep="#EOQ#").collect()
+    assert sorted(map(tuple, got)) == [("1", "SELECT ?a\r\n{ }"), ("2", "SELECT ?b { }"), ("3", "SELECT ?c { }")]
+
+
+def test_directory_of_queries_runs(spark, social, tmp_path):
+    """Files of a folder, in the order of their names, as texts that are run as they ask."""
+    from pyspark.sql import functions as F
+
+    from trefoil import logged_queries, read_query_log, run_workload
+
+    for name, text in (("Q2.b.sparql", "SELECT DISTINCT ?z { ?x lives ?z }"), ("Q1.a.sparql", "SELECT * { ?x friends ?y FILTER (?x != ?y) }")):
+        (tmp_path / name).write_text(text)
+    log = read_query_log(spark, str(tmp_path))
+    log = log.select(F.col("query_name").alias("query_id"), F.col("query_name").alias("query_seq"), "query")
+    runs = run_workload(social, logged_queries(log)).collect()
+    assert [(r["query"], r["num_results"]) for r in runs] == [("Q1", 3), ("Q2", 2)]

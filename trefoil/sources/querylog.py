@@ -15,8 +15,8 @@ def read_query_log(spark: SparkSession, path, record_sep: str | None = None) ->
 
     In a directory every file is one query, named by its file name up to the
     first dot; sort by ``query_name`` for the order of execution. With
-    ``record_sep`` the records end with a line of that text and are named by
-    their number; text after the last separator is no record.
+    ``record_sep`` the records end with that text, whatever blanks or line ends
+    follow it, and are named by their number; the last record may lack it.
     """
     if record_sep is None:
         files = spark.read.text(path, wholetext=True)
@@ -24,7 +24,7 @@ def read_query_log(spark: SparkSession, path, record_sep: str | None = None) ->
             F.substring_index(F.col("_metadata.file_name"), ".", 1).alias("query_name"),
             F.col("value").alias("query"),
         )
-    records = numbered_lines(spark, path, line_sep=f"{record_sep}\n")
+    records = numbered_lines(spark, path, line_sep=record_sep)
     return records.select(F.col("line").cast("string").alias("query_name"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("query")).where(
         F.col("query") != ""
     )
