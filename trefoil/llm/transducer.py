@@ -257,9 +257,16 @@ def model(path: str) -> Transducer:
     return _models[path]
 
 
+def _few(batches, rows: int = 128):
+    """Slices of batches, so that a worker holds the texts and ids of a few rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _encode(path: str):
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             t = model(path)
             ids = [t.encode(x) for x in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -271,7 +278,7 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             t = model(path)
             # One document's ids at a time become Python numbers.
             ids = batch.column(1)
