@@ -1,17 +1,21 @@
 """Encoding and decoding of texts with a SentencePiece model as a weighted transducer.
 
-The model file is compiled to a transducer: the normaliser writes the space mark
-for spaces and before the text; an arc reads the characters of a piece and writes
-its id; a character that is no piece has a path of byte arcs. Composed with a
-text it gives a lattice over the text's places, whose shortest path in the
-tropical semiring (weights add along a path, the smaller wins) is the encoding.
-
-Weights. A unigram model weighs a piece by its negative score. A model of merges
-has no such weights: there, an acceptor over neighbouring pieces gives weight zero
-where the merges of both pieces together leave the border between them, and
-infinity elsewhere. Merges never reach over a border that they leave for its two
-pieces alone, so exactly one path is finite, and it is what the merges produce.
-For each place it is enough to keep the last piece of the one finite path to it.
+The model file is compiled to states and arcs. Pieces are a tree of states that
+reads characters and writes a piece where one ends. The normaliser is composed
+with it once: every arc that reads the space mark has a twin that reads a space,
+and the mark before a text is read first. A character that no piece begins with
+is read by byte arcs, one for each of its bytes. Composed with a text, arcs lead
+from place to place, and the shortest path in the tropical semiring (weights add
+along a path, the smaller wins) is the encoding.
+
+Weights. A unigram model weighs a piece by its negative score; places are relaxed
+in their order. A model of merges has no such weights: there, an acceptor over
+neighbouring pieces is composed as well, which gives weight zero where the merges
+of both pieces together leave the border between them, and infinity elsewhere.
+Merges never reach over a border that they leave for its two pieces alone, so
+exactly one path to each place is finite. Zero cannot be improved, so the first
+finite path to the end is the shortest; it is sought depth first, longest arcs
+first, and a place from which the end was not reached is never entered again.
 
 Texts are cut where no piece reaches across, at marks and at characters that are
 in no longer piece, and a bounded number of runs is remembered, so a run is
@@ -33,7 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
-PREFIX = 64
+# Characters of the longest run that is remembered.
+REMEMBERED = 64
+NOTHING: dict = {}
 # Piece types, model types and field numbers of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
@@ -100,36 +106,64 @@ class Transducer:
         # Pieces that are not simply their text.
         self.special = np.array([t not in (NORMAL, UNUSED) for t in self.types])
         self.byte_ids = [self.types.index(BYTE) + b for b in range(256)] if self.byte_fallback else []
+        self.writes = {p: struct.pack("<I", i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.byte_arcs = [struct.pack("<I", i) for i in self.byte_ids]
         self.unknown_weight = 10 - min((self.scores[i] for i in self.ids.values()), default=0)
         inside = {c for p in self.ids for c in p[1:] if len(p) > 1}
         outer = inside | {p[0] for p in self.ids if len(p) > 1}
         # A run begins at a mark, unless a piece has one inside; other characters in no longer piece stand alone.
         marks_begin = not any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "".join(re.escape(c) for c in "\n\t" if c not in outer)
+        marks = MARK + " "
         self.runs = re.compile(
-            (f"[{alone}]|" if alone else "") + (f"{MARK}*[^{MARK}{alone}]+|{MARK}+" if marks_begin else (f"[^{alone}]+" if alone else "[\\s\\S]+")))
+            (f"[{alone}]|" if alone else "")
+            + (f"[{marks}]*[^{marks}{alone}]+|[{marks}]+" if marks_begin else (f"[^{alone}]+" if alone else "[\\s\\S]+")))
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.borders: dict[str, dict[str, bool]] = {}
         self.n_borders = 0
-        self.ends: dict[str, str] = {}
-        # Pieces that merging their own characters gives; no other can be on a path.
-        self.lattice = {p: p for p in self.ids if not self.merges or self._merged(p) == [p]}
-
-    def normalise(self, text: str) -> str:
+        # When a piece is merged, pieces of one score at one time, and from what.
+        times = {x: k for k, x in enumerate(sorted({-self.scores[i] for i in self.ids.values()}))}
+        self.time = {p: times[-self.scores[i]] for p, i in self.ids.items() if len(p) > 1}
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.start = self._compile()
+
+    def _compile(self) -> dict:
+        """The state before a piece. A state maps characters to states and "" to the piece that ends there."""
+        start: dict = {}
+        for piece in self.ids:
+            # Only pieces that merging their own characters gives can be on a path.
+            if self.merges:
+                halves = self._merged(piece, 2)
+                if len(halves) > 2:
+                    continue
+                if len(halves) == 2:
+                    self.halves[piece] = halves[0], halves[1]
+            state = start
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[""] = piece
+        states = [start]
+        while states:
+            state = states.pop()
+            states += [to for c, to in state.items() if c]
+            if MARK in state:
+                state[" "] = state[MARK]
+        return start
+
+    def prepared(self, text: str) -> str:
+        """The text as the composed transducer reads it: with the space that stands for the mark before it."""
         if self.trim:
             text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARK if self.dummy else "") + text.replace(" ", MARK)
+        return " " * self.dummy + text if text else ""
 
     # The acceptor over neighbouring pieces.
 
-    def _merged(self, text: str) -> list[str]:
-        """Pieces left when the best adjacent pair is merged again and again."""
+    def _merged(self, text: str, least: int = 1) -> list[str]:
+        """Pieces left when the best adjacent pair is merged again and again, down to ``least`` pieces."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = -math.inf, -1
             for k in range(len(parts) - 1):
                 i = self.ids.get(parts[k] + parts[k + 1])
@@ -151,46 +185,81 @@ class Transducer:
                 self.borders, self.n_borders = {}, 0
                 row = self.borders[left] = {}
             self.n_borders += 1
-            found = row[self.lattice.get(right, right)] = self._merged(left + right) == ([left, right] if left else [right])
+            found = row[right] = self._border(left, right)
         return found
 
+    def _border(self, left: str, right: str) -> bool:
+        """Merges undone from the last one on: whether at no time what lay at the border was the next pair to merge."""
+        time, limit = self.time.get, math.inf
+        while True:
+            if time(left + right, math.inf) < limit:
+                return False
+            a, b = time(left, -1), time(right, -1)
+            if a == b == -1:
+                return True
+            # Of equal pairs the left one goes first.
+            if a > b:
+                left, limit = self.halves[left][1], a
+            else:
+                right, limit = self.halves[right][0], b + 1
+
+    def _arcs(self, text: str, at: int, stop: int) -> list[str]:
+        """Pieces that can be read at a place, shorter ones first; a character that is no piece stands for itself."""
+        state, out = self.start, []
+        for c in text[at : min(stop, at + self.longest)]:
+            if c not in state:
+                break
+            state = state[c]
+            if "" in state:
+                out.append(state[""])
+        if at < stop and (not out or len(out[0]) > 1):
+            out.insert(0, MARK if text[at] == " " else text[at])
+        return out
+
     def shortest(self, text: str) -> list[str]:
-        """Pieces of the shortest path through the lattice of a normalised text, composed on the way.
-
-        The arcs into a place are the pieces that end there, and a lone character.
-        """
-        n, longest = len(text), self.longest
-        last = [""] * (n + 1)
-        if self.merges:
-            # Weights are zero or infinite, so the first finite arc into a place is the only one.
-            # Runs share beginnings, so what ends at each of their places is remembered as well.
-            lattice, stays, ends = self.lattice, self.stays, self.ends
-            if len(ends) >= self.limit:
-                ends.clear()
-            for end in range(1, n + 1):
-                prefix = text[:end] if end <= PREFIX else None
-                if prefix in ends:
-                    last[end] = ends[prefix]
+        """Pieces of the shortest path through the composition with a text."""
+        return self._finite(text) if self.merges else self._least(text)
+
+    def _finite(self, text: str) -> list[str]:
+        n, at, stop, last = len(text), 0, len(text), ""
+        arcs, stays = self._arcs, self.stays
+        row, dead, path = {}, None, []
+        while at < n:
+            ways = arcs(text, at, stop)
+            while ways:
+                piece = ways.pop()
+                if dead is not None and dead[at + len(piece)]:
                     continue
-                for begin in range(max(0, end - longest), end):
-                    piece = text[begin:end]
-                    if (piece in lattice or begin == end - 1) and stays(last[begin], piece):
-                        # The model's own string, not another copy of it in each table.
-                        last[end] = lattice.get(piece, piece)
-                        break
-                if prefix is not None:
-                    ends[prefix] = last[end]
-        else:
-            weight = [0.0] + [math.inf] * n
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = text[begin:end]
-                    i = self.ids.get(piece)
-                    if i is None and begin < end - 1:
+                if last:
+                    fits = row.get(piece)
+                    if fits is None:
+                        fits = stays(last, piece)
+                    if not fits:
                         continue
-                    total = weight[begin] + (self.unknown_weight if i is None else -self.scores[i])
-                    if total < weight[end]:
-                        weight[end], last[end] = total, piece
+                path.append(piece)
+                at += len(piece)
+                stop, last, row = n, piece, self.borders.get(piece, NOTHING)
+                break
+            else:
+                # No way on: back to the place before, and on with its shorter arcs.
+                dead = bytearray(n + 1) if dead is None else dead
+                dead[at] = 1
+                stop = at - 1
+                at -= len(path.pop())
+                last = path[-1] if path else ""
+                row = self.borders.get(last, NOTHING)
+        return path
+
+    def _least(self, text: str) -> list[str]:
+        n = len(text)
+        weight, last = [0.0] + [math.inf] * n, [""] * (n + 1)
+        for at in range(n):
+            for piece in self._arcs(text, at, n):
+                i = self.ids.get(piece)
+                total = weight[at] + (self.unknown_weight if i is None else -self.scores[i])
+                end = at + len(piece)
+                if total < weight[end]:
+                    weight[end], last[end] = total, piece
         out, at = [], n
         while at:
             out.append(last[at])
@@ -198,29 +267,37 @@ class Transducer:
         return out[::-1]
 
     def _run(self, text: str) -> bytes:
-        out = []
-        for piece in self.shortest(text):
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.byte_fallback:
-                out += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+        """What the arcs of the shortest path write."""
+        path = self.shortest(text)
+        out = list(map(self.writes.get, path))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is not None:
+                    continue
+                if self.byte_fallback:
+                    out[k] = b"".join(map(self.byte_arcs.__getitem__, path[k].encode("utf-8", "surrogatepass")))
+                else:
+                    # Unknown characters in a row are one unknown piece.
+                    out[k] = b"" if k and path[k - 1] not in self.writes else struct.pack("<I", self.unknown)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
-        known, parts = self.known, []
-        for run in self.runs.findall(self.normalise(text or "")):
-            ids = known.get(run)
-            if ids is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = self._run(run)
-                if len(run) <= PREFIX:
-                    known[run] = ids
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), "<u4")
+        runs = self.runs.findall(self.prepared(text or ""))
+        found = list(map(self.known.get, runs))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self.known.get(runs[k]) or self._learn(runs[k])
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def _learn(self, run: str) -> bytes:
+        ids = self._run(run)
+        # Long runs are not remembered, so what is remembered is bounded in bytes as well.
+        if len(run) <= REMEMBERED:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            self.known[run] = ids
+        return ids
 
     def decode(self, ids) -> str:
         ids = np.asarray(ids, np.int64)
