@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..sources.shared import new_path
@@ -78,11 +79,13 @@ def _tokenise(path: str, spaces: str, end_id: int, special: bool):
 def _count(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = np.bincount(np.frombuffer(ids, f"<u{width}"))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n
+        ids, width = batch.column(0), batch.column(1)
+        for w in pc.unique(width).to_pylist():
+            # All ids of a batch lie one after the other; they are counted at once.
+            some = ids.filter(pc.equal(width, w))
+            n = np.bincount(np.frombuffer(b"".join(some.to_pylist()), f"<u{w}"), minlength=len(total))
+            n[: len(total)] += total
+            total = n
     found = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 

@@ -11,10 +11,14 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+
 # The code points of the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 # White space to some libraries only; a text with one of these is not cut at all.
 UNSURE = "\x1c\x1d\x1e\x1f᠎"
+# Words of one text that the library is handed to learn them.
+JOINED = 200
 _RARE = [c for c in WHITE if c not in " \n"]
 _RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
@@ -46,6 +50,18 @@ class Encoder:
         self.cut = (lambda text: [text]) if self.whole else self._words if spaces == "dropped" else self._spaced
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.lengths = self._lengths() if spaces == "leading" and not self.whole else None
+
+    def _lengths(self) -> np.ndarray | None:
+        """Bytes of text that each token stands for, where tokens are the text's own bytes."""
+        from tokenizers import pre_tokenizers
+
+        before = self.library.pre_tokenizer
+        if self.library.normalizer is not None or not isinstance(before, pre_tokenizers.ByteLevel) or before.add_prefix_space:
+            return None
+        added = self.library.get_added_tokens_decoder()
+        names = (self.library.id_to_token(i) for i in range(self.library.get_vocab_size()))
+        return np.array([len(added[i].content.encode()) if i in added else len(x or "") for i, x in enumerate(names)], np.int64)
 
     def _words(self, text: str) -> list[str]:
         return [text] if any(c in text for c in UNSURE) else text.split()
@@ -74,6 +90,9 @@ class Encoder:
             marked = [x for x in new if x[-1:] in (".", ",") and x[-2:-1].isascii() and x[-2:-1].isalpha() and not self.whole]
             plain = new.difference(marked).union(x[:-1] for x in marked).difference(known).union(".,")
             order = list(plain)
+            if self.lengths is not None:
+                words = [x for x in order if x[:1] == " " and len(x) > 1 and x.isascii() and x.isprintable() and x.rfind(" ") == 0]
+                order = list(plain.difference(words)) + self._learn_joined(words)
             for run, ids in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
                 known[run] = array(self.code, ids.ids).tobytes()
             for x in marked:
@@ -83,6 +102,25 @@ class Encoder:
                 f[k] = known[r[k]]
         return [b"".join(f) for f in found]
 
+    def _learn_joined(self, words: list[str]) -> list[str]:
+        """Learn many words, each with one space before it, by one text for some hundred; returns those not learnt.
+
+        The tokenizer cuts before the space of each word, so the bytes that tokens stand for tell where its ids end.
+        """
+        left, known = [], self.known
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, found in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            reached = np.cumsum(self.lengths[ids])
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            last = np.searchsorted(reached, ends)
+            if last[-1] >= len(reached) or (reached[last] != ends).any():
+                left += group
+                continue
+            raw, cuts = ids.tobytes(), ((last + 1) * ids.itemsize).tolist()
+            known.update(zip(group, map(raw.__getitem__, map(slice, [0] + cuts[:-1], cuts))))
+        return left
+
 
 _encoders: dict[tuple, Encoder] = {}
 
