@@ -77,7 +77,7 @@ def _fields(data: bytes):
 class Transducer:
     """A model file, compiled."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
         trainer = dict(_fields(next((v for k, v in top if k == _TRAINER), b"")))
@@ -207,9 +207,9 @@ class Transducer:
         """Pieces that can be read at a place, shorter ones first; a character that is no piece stands for itself."""
         state, out = self.start, []
         for c in text[at : min(stop, at + self.longest)]:
-            if c not in state:
+            state = state.get(c)
+            if state is None:
                 break
-            state = state[c]
             if "" in state:
                 out.append(state[""])
         if at < stop and (not out or len(out[0]) > 1):
