@@ -137,6 +137,24 @@ def test_pruned_free_property_gives_the_same_rows(social):
         assert Counter(map(tuple, got.collect())) == expected
 
 
+def test_candidates_prune_folders_without_moving_triples(spark, social, tmp_path):
+    from trefoil.operators.pattern import of_properties
+
+    g = social.save(str(tmp_path / "graph"))
+    wanted = sorted({r["prop"] for r in social.triples.collect()})[:2]
+    candidates = spark.createDataFrame([(p,) for p in wanted * 3], "prop string")
+    want = sorted(tuple(r) for r in social.triples.where(social.triples["prop"].isin(wanted)).collect())
+    listed = of_properties(g, candidates)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and f"PartitionFilters: [prop#" in plan and all(p in plan for p in wanted)
+    assert sorted(tuple(r) for r in listed.collect()) == want
+    joined = of_properties(g, candidates, limit=1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "dynamicpruning" in plan
+    assert sorted(tuple(r) for r in joined.collect()) == want
+    assert of_properties(g, candidates.where("false")).count() == 0
+
+
 def test_report(social):
     report = {r["prop"]: (r["n_before"], r["n_after"]) for r in t.reduction_report(social, CHAIN).collect()}
     assert report == {"friends": (4, 4), "lives": (3, 2)}

@@ -140,6 +140,25 @@ def test_line_numbers_cross_splits_and_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_line_numbers_without_broadcast(spark, tmp_path):
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    lines = [f"{i} {'y' * (i % 30)}" for i in range(3000)]
+    for k in range(30):
+        (folder / f"{k:02}.txt").write_text("\n".join(lines[100 * k : 100 * (k + 1)]) + "\n")
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        numbered = t.numbered_lines(spark, str(folder))
+        assert "Broadcast" not in numbered._jdf.queryExecution().toString()
+        assert {r["line"]: r["value"] for r in numbered.collect()} == {i + 1: v for i, v in enumerate(lines)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_query_logs(spark, tmp_path):
     folder = tmp_path / "queries"
     folder.mkdir()

@@ -15,17 +15,18 @@ def global_rank(df: DataFrame, *order, name: str = "rank") -> DataFrame:
 
     The sort is range-partitioned over all tasks and written once; a row's rank
     is its place in its partition plus the rows of the partitions before. Only
-    the partition sizes meet in one task, and they are what gets broadcast.
+    the partition sizes meet in one task; they are written, one row each, so Spark
+    knows their size when it chooses how to join them.
     ``order`` should end in a unique column.
     """
     placed = df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id())
     placed = materialise(placed, "ranked").withColumn("_part", F.shiftright("_row", _ROW_BITS))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = materialise(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "starts")
     place = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        placed.join(F.broadcast(starts), "_part")
+        placed.join(starts, "_part")
         .withColumn(name, F.col("_before") + place + 1)
         .select(*df.columns, name)
     )

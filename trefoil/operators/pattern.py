@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import materialise
 from .graph import Graph
 
+# Most property names that a filter lists.
+LISTED = 1000
+
 Pattern = tuple[str, str, str]
 
 
@@ -50,12 +54,28 @@ def bind(rows: DataFrame, pattern: Pattern) -> DataFrame:
 def pattern(g: Graph, s: str, p: str, o: str, candidates: DataFrame | None = None) -> DataFrame:
     """Bindings of one pattern, all eight constant/variable combinations.
 
-    ``candidates`` is an optional ``(prop)`` table for a free property; the
-    semi-join with it prunes property folders of a stored graph.
+    ``candidates`` is an optional ``(prop)`` table for a free property, see
+    :func:`of_properties`.
     """
     if not is_var(p):
         return bind(g.prop(p), (s, p, o))
     rows = g.triples
     if candidates is not None:
-        rows = rows.join(candidates.select("prop").distinct(), "prop", "left_semi")
+        rows = of_properties(g, candidates)
     return bind(rows.select("sub", "prop", "obj"), (s, p, o))
+
+
+def of_properties(g: Graph, candidates: DataFrame, limit: int = LISTED) -> DataFrame:
+    """Triples whose property is in a ``(prop)`` table, without moving triples by property.
+
+    The names are found first and written. Up to ``limit`` of them become a filter
+    on the property, which a stored graph answers with its folders alone. More
+    stay a table of known size, which Spark sends to the tasks below its threshold
+    and then prunes folders by. The rows are the same either way.
+    """
+    names = materialise(candidates.select("prop").distinct(), "candidates")
+    few = [r["prop"] for r in names.limit(limit + 1).collect()]
+    if len(few) <= limit:
+        return g.triples.where(F.col("prop").isin(few))
+    # Spark prunes folders at run time only by a table that has a filter; this one keeps every name.
+    return g.triples.join(names.where(F.col("prop") >= ""), "prop", "left_semi").select("sub", "prop", "obj")

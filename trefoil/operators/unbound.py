@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .bloom import CHUNK_WORDS, bit_positions, chunk_of, graph_blooms, in_chunk
 from ..sources.shared import materialise
 from .graph import Graph
-from .pattern import Pattern, bind, is_var
+from .pattern import Pattern, bind, is_var, of_properties
 
 
 def intersect_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -88,8 +88,7 @@ def candidate_properties_by_join(
 
 def verified_properties(g: Graph, s: str, o: str, candidates: DataFrame) -> DataFrame:
     """``(prop, n)``: candidates that really have matching rows, and how many."""
-    rows = g.triples.join(candidates.select("prop").distinct(), "prop", "left_semi").select("sub", "prop", "obj")
-    return bind(rows, (s, "?prop", o)).groupBy("prop").agg(F.count(F.lit(1)).alias("n"))
+    return bind(of_properties(g, candidates), (s, "?prop", o)).groupBy("prop").agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidates_for(g: Graph, patterns: list[Pattern], i: int, mode: str) -> DataFrame | None:

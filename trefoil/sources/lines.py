@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .shared import materialise
+
 _BLOCK = ["_path", "_start"]
 
 
 def numbered_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFrame:
     """``(line, value)``: every record of the text files with its 1-based number.
 
-    Files count in path order. Neither a sort nor a shuffle of the text is
-    needed: inside one input split rows arrive in file order, so the number is
-    the row's place in its split plus the records of all splits before it. The
-    table of splits has one row per split and is what gets broadcast.
+    Files count in path order. The text is not sorted: inside one input split
+    rows arrive in file order, so the number is the row's place in its split plus
+    the records of all splits before it. Those are summed in two levels, over the
+    splits of each file and over the files, and only one row per file meets in one
+    task. The table of splits is written, so Spark knows its size when it chooses
+    how to join: it is sent to all tasks while that is below the session's
+    threshold, and beyond both sides are shuffled by split.
     """
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
     rows = reader.text(path).select(
@@ -22,11 +27,16 @@ def numbered_lines(spark: SparkSession, path, line_sep: str | None = None) -> Da
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    splits = rows.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    before = F.sum("_n").over(Window.orderBy(*_BLOCK).rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select(*_BLOCK, "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    counts = rows.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    counts = materialise(counts, "splits")
+    earlier = F.sum("_n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    files = counts.groupBy("_path").agg(F.sum("_n").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("_path", F.coalesce(before, F.lit(0)).alias("_files"))
+    splits = counts.withColumn("_in_file", F.coalesce(earlier, F.lit(0))).join(files, "_path")
+    splits = materialise(splits.select(*_BLOCK, "_first", (F.col("_files") + F.col("_in_file")).alias("_before")), "splits")
     number = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return rows.join(F.broadcast(splits), _BLOCK).select(number.alias("line"), "value")
+    return rows.join(splits, _BLOCK).select(number.alias("line"), "value")
 
 
 def zip_lines(spark: SparkSession, left, right) -> DataFrame:
