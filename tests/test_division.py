@@ -146,3 +146,12 @@ def test_one_aggregate_over_the_triples(star):
     for df in (property_stats(star), star.values("p", "sub")):
         assert not any("/triples" in f for f in df.inputFiles())
     assert {r["prop"]: (r["n"], r["n_sub"], r["n_obj"]) for r in property_stats(star).collect()}["p"] == (60_000, 12_001, 60_000)
+
+
+def test_heavy_values_are_found_by_many_tasks(spark, settings, tmp_path):
+    """Saving does not squeeze the search of heavy values into one task: unmerged, it leaves several files."""
+    triples = spark.range(0, 2000, 1, 8).select(
+        F.concat(F.lit("s"), F.col("id") % 50).alias("sub"), F.lit("p").alias("prop"), F.concat(F.lit("o"), F.col("id") % 40).alias("obj"))
+    g = Graph(triples).save(str(tmp_path / "g"), least_heavy=1)
+    assert len(g.heavy("p", "sub")) == 50 and len(g.heavy("p", "obj")) == 40
+    assert len(g._heavy_table.inputFiles()) > 1

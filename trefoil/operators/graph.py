@@ -60,8 +60,9 @@ class Graph:
         stored.distinct = _stored_values(self.spark, path)
         stats_of_values(stored.distinct).write.mode("overwrite").parquet(f"{path}/stats")
         stored.stats = self.spark.read.parquet(f"{path}/stats")
-        heavy_rows(stored.distinct, least=LEAST_ROWS if least_heavy is None else least_heavy).coalesce(1).write.mode(
-            "overwrite").parquet(f"{path}/heavy")
+        # Few rows, merged behind a shuffle: merged without one, a single task would scan all distinct values.
+        heavy = heavy_rows(stored.distinct, least=LEAST_ROWS if least_heavy is None else least_heavy)
+        heavy.hint("rebalance").write.mode("overwrite").parquet(f"{path}/heavy")
         if fpp is not None:
             save_blooms(build_blooms(stored, fpp), f"{path}/blooms")
         return Graph.load(self.spark, path)
