@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import trefoil as t
 from trefoil import Graph
-from trefoil.operators.bloom import bloom_filter_rows
+from trefoil.operators.bloom import bloom_filter_rows, build_blooms
 from trefoil.operators.reduction import Reductions, partner_sides
 
 CHAIN = [("?x", "friends", "?y"), ("?y", "lives", "?z")]
@@ -166,3 +166,14 @@ def test_runs(social):
     assert (rows["a"]["is_warm"], rows["b"]["is_warm"], rows["c"]["is_warm"]) == (False, True, False)
     assert (rows["a"]["num_results"], rows["a"]["table_sizes"], rows["a"]["reduction_sizes"]) == (4, 7, 6)
     assert (rows["a"]["max_joins"], rows["a"]["num_triples"]) == (2, 2)
+
+
+def test_filters_are_probed_by_chunk(spark):
+    """A small filter is broadcast in chunks, and its test is no part of a generated method that grows with the filters."""
+    rows = spark.range(40_000).select(F.concat(F.lit("s"), "id").alias("sub"), F.lit("p").alias("prop"), F.concat(F.lit("o"), "id").alias("obj"))
+    blooms = build_blooms(Graph(rows), 0.01)
+    probes = spark.range(30_000, 60_000).select(F.concat(F.lit("s"), "id").alias("sub"), F.concat(F.lit("o"), "id").alias("obj"))
+    passed = bloom_filter_rows(bloom_filter_rows(probes, "sub", blooms.of(("p", "sub"))), "obj", blooms.of(("p", "obj")))
+    assert 10_000 <= passed.count() <= 10_000 + 0.001 * 20_000
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan

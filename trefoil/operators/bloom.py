@@ -81,23 +81,20 @@ def chunk_of(value: Column, m: Column) -> Column:
     return F.pmod(F.xxhash64(value, F.lit(-1)), F.ceil(m / CHUNK_BITS).cast("long"))
 
 
-def may_contain(value: Column, hashes: int, m: Column, words: str = "_words") -> Column:
-    """Whether a value passes a filter of size ``m``, given all its words in a column."""
-    def bit(position):
-        word = F.get(words, F.shiftright(position, 6).cast("int"))
-        return F.getbit(word, position.bitwiseAND(F.lit(63)).cast("int")) == 1
+def in_chunk(value: Column, hashes: int, m: Column, words: str = "words") -> Column:
+    """Whether a value passes, given the words of its own chunk in a column.
 
-    return reduce(Column.__and__, [bit(p) for p in bit_positions(value, m, hashes)])
+    The bits are tested in a loop. Spelled out, the tests of two or three filters
+    make one generated method above 8 kB, which the JVM never compiles.
+    """
+    size = F.least(m, F.lit(CHUNK_BITS))
+    places = F.array(*[F.pmod(F.xxhash64(value, F.lit(i)), size) for i in range(hashes)])
 
+    def bit(place):
+        word = F.get(F.col(words), F.shiftright(place, 6).cast("int"))
+        return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def in_chunk(value: Column, hashes: int, m: Column, words: str = "words") -> Column:
-    """Whether a value passes, given the words of its own chunk in a column."""
-    def bit(i):
-        position = F.pmod(F.xxhash64(value, F.lit(i)), F.least(m, F.lit(CHUNK_BITS)))
-        word = F.get(words, F.shiftright(position, 6).cast("int"))
-        return F.getbit(word, position.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    return reduce(Column.__and__, [bit(i) for i in range(hashes)])
+    return F.forall(places, bit)
 
 
 def filter_bits(n: Column, fpp: float) -> Column:
@@ -127,24 +124,24 @@ def build_blooms(g: Graph, fpp: float = 0.01, props=None) -> Blooms:
     )
     blooms = Blooms(fpp, meta, None)
 
-    values = distinct.select("prop", "side", "value").join(meta, ["prop", "side"])
-    positions = F.array(*bit_positions(F.col("value"), F.col("m"), blooms.hashes))
-    key = ["prop", "side", "chunk", "slot"]
-    bits = values.select("prop", "side", F.explode(positions).alias("pos")).select(
-        "prop", "side",
-        (F.shiftright("pos", 6) / CHUNK_WORDS).cast("long").alias("chunk"),
-        F.pmod(F.shiftright("pos", 6), F.lit(CHUNK_WORDS)).cast("int").alias("slot"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(F.lit(63)).cast("int")).alias("bits"),
-    )
-    # Every word exists, also those without a bit, so that an array index is a word number.
+    # A value crosses the shuffle once and is made bits behind it: a chunk holds a bounded number of values, and its
+    # bits meet where they are made. A row without a value stands for all words of a chunk, also those without a
+    # bit, so that an array index is a word number.
+    key = ["prop", "side", "chunk"]
     last = ((F.col("m") - 1) / (64 * CHUNK_WORDS)).cast("long")
-    zeros = (
-        meta.select("prop", "side", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
-        .hint("rebalance", "prop", "side", "chunk")
-        .select("prop", "side", "chunk", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_WORDS - 1))).alias("slot"))
-        .withColumn("bits", F.lit(0).cast("long"))
+    empty = meta.select("prop", "side", "m", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk")).select(
+        *key, "m", F.lit(None).cast("string").alias("value"), F.lit(True).alias("empty"))
+    values = distinct.select("prop", "side", "value").join(meta, ["prop", "side"]).select(
+        *key[:2], chunk_of(F.col("value"), F.col("m")).alias("chunk"), "m", "value", F.lit(False).alias("empty"))
+    place = lambda i: F.pmod(F.xxhash64("value", F.lit(i)), F.least("m", F.lit(CHUNK_BITS)))
+    places = F.when(F.col("empty"), F.sequence(F.lit(0).cast("long"), F.lit(CHUNK_BITS - 64).cast("long"), F.lit(64).cast("long")))
+    places = places.otherwise(F.array(*[place(i) for i in range(blooms.hashes)]))
+    bits = values.unionByName(empty).repartition(*key).select(*key, "empty", F.explode(places).alias("pos")).select(
+        *key, F.shiftright("pos", 6).cast("int").alias("slot"),
+        F.when(F.col("empty"), F.lit(0).cast("long")).otherwise(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"),
     )
-    words = bits.unionByName(zeros).groupBy(*key).agg(F.bit_or("bits").alias("bits"))
+    words = bits.groupBy(*key, "slot").agg(F.bit_or("bits").alias("bits"))
     chunks = words.groupBy("prop", "side", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("slot", "bits")))["bits"].alias("words")
     )
@@ -180,27 +177,21 @@ def fits(blooms: Blooms, limit: int = BROADCAST_BYTES) -> bool:
 def bloom_filter_rows(df: DataFrame, column: str, blooms: Blooms, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rows whose value may be in *all* filters of a selection (``blooms.of(...)``).
 
-    Up to ``limit`` bytes in all: one broadcast semi-join per filter, whose
-    condition is the bit test, so that the table is filtered where it lies.
-    Beyond: an equi-join of each value with the one chunk that holds its bits.
-    The same rows pass either way. A property that does not exist has no filter
-    and lets nothing pass.
+    Each value meets the one chunk that holds its bits, by an equi-join; up to
+    ``limit`` bytes in all the chunks are broadcast, so that the table is filtered
+    where it lies. The same rows pass either way. A property that does not exist
+    has no filter and lets nothing pass.
     """
     if not blooms.sides:
         raise ValueError("select the filters with of()")
-    chunks = F.array_sort(F.collect_list(F.struct("chunk", "words")))
     small = fits(blooms, limit)
     for side in blooms.sides:
         m = blooms.bits(side)
         if m == 0:
             return df.where(F.lit(False))
+        parts = blooms.of(side).words.select(F.col("chunk").alias("_chunk"), F.col("words").alias("_words"))
         size = F.lit(m).cast("long")
-        if small:
-            one = blooms.of(side).words.agg(F.flatten(chunks["words"]).alias("_words"))
-            df = df.join(F.broadcast(one), may_contain(F.col(column), blooms.hashes, size), "left_semi")
-        else:
-            parts = blooms.of(side).words.select(F.col("chunk").alias("_chunk"), F.col("words").alias("_words"))
-            keyed = df.withColumn("_chunk", chunk_of(F.col(column), size))
-            passes = (keyed["_chunk"] == parts["_chunk"]) & in_chunk(keyed[column], blooms.hashes, size, "_words")
-            df = keyed.join(parts, passes, "left_semi").drop("_chunk")
+        keyed = df.withColumn("_chunk", chunk_of(F.col(column), size))
+        passes = (keyed["_chunk"] == parts["_chunk"]) & in_chunk(keyed[column], blooms.hashes, size, "_words")
+        df = keyed.join(F.broadcast(parts) if small else parts, passes, "left_semi").drop("_chunk")
     return df
