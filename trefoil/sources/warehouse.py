@@ -6,6 +6,7 @@ reads only the tables and columns behind it.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -67,6 +68,10 @@ def triples(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, edges)
 
 
+# Lines of one task of a workload; the aggregates of its queries take a few hundred bytes for each.
+TASK_LINES = 200_000
+
+
 def graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(triples(spark, folder))
 
@@ -88,18 +93,22 @@ def workload(spark: SparkSession, folder: str) -> DataFrame:
 
     The property is the part's brand, one end is the order's variable ``?v0``,
     the other the variable of a supplier; odd lines have ``?v0`` as subject.
-    Rows are ``(query_id, query_seq, pos, s, p, o)``.
+    Rows are ``(query_id, query_seq, pos, s, p, o)``, dealt by ``query_id`` over as
+    many partitions as the number of lines asks for, so that a task holds the same
+    whatever the input. Aggregates by query follow without another shuffle.
     """
-    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
-        F.min("l_suppkey").alias("l_suppkey")
-    )
+    lineitem = table(spark, folder, "lineitem")
+    partitions = max(spark.sparkContext.defaultParallelism, math.ceil(lineitem.count() / TASK_LINES))
+    query = (F.col("l_orderkey") + 1).alias("query_id")
+    lines = lineitem.select(query, "l_linenumber", "l_partkey", "l_suppkey").repartition(partitions, "query_id")
+    lines = lines.groupBy("query_id", "l_linenumber", "l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
     brand = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     centre, leaf = F.lit("?v0"), F.concat(F.lit("?s"), F.col("l_suppkey").cast("string"))
     odd = F.col("l_linenumber") % 2 == 1
-    query = (F.col("l_orderkey") + 1).alias("query_id")
-    return lines.join(brand, "l_partkey").select(
-        query,
-        query.alias("query_seq"),
+    # Spark leaves the second deal out unless the join has moved the rows by part.
+    return lines.join(brand, "l_partkey").repartition(partitions, "query_id").select(
+        "query_id",
+        F.col("query_id").alias("query_seq"),
         (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("pos"),
         F.when(odd, centre).otherwise(leaf).alias("s"),
         F.col("p_brand").alias("p"),
