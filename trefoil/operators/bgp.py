@@ -209,8 +209,32 @@ def _weighted(g: Graph, tables, patterns, order, by) -> DataFrame:
     return _sum_weights(rows, by)
 
 
+def _summing_order(patterns, order, by) -> list[int]:
+    """``order`` rearranged so that as few variables as can be wait to be summed away.
+
+    For graphs without statistics. Two open variables that are not grouped by
+    are a list of pairs; a pattern that closes one goes before one that opens
+    another. Every pattern still shares a variable with an earlier one if it can.
+    """
+    left, done, seen = list(order), [], set()
+
+    def waiting(i):
+        later = set().union(*[variables(patterns[j]) for j in left if j != i])
+        return len((seen | set(variables(patterns[i]))) & later - set(by))
+
+    while left:
+        joined = [i for i in left if seen & set(variables(patterns[i]))]
+        chosen = min(joined, key=waiting) if joined else left[0]
+        left.remove(chosen)
+        done.append(chosen)
+        seen |= set(variables(patterns[chosen]))
+    return done
+
+
 def _grouped_unfiltered(g, tables, patterns, sizes, by, allow_cross) -> DataFrame:
     order = join_order(patterns, sizes)
+    if sizes is None:
+        order = _summing_order(patterns, order, by)
     groups = _connected(patterns)
     if len(groups) > 1 and not allow_cross:
         raise ValueError("patterns share no variable; pass allow_cross=True")
