@@ -189,6 +189,52 @@ def test_encoder_finds_special_tokens(name, spaces):
         assert np.frombuffer(ids, mine.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_columns(monkeypatch):
+    """Runs told apart for a column at a time: white space of all kinds, marks, nulls, slices, several chunks."""
+    import pyarrow as pa
+
+    from trefoil.llm import tokens
+
+    mine = Encoder(vocabulary("byte_bpe_50k.json"), "leading", limit=500, special=True)
+    rng = random.Random(21)
+    plain = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "Th", "é", "\u0301", "ɏ", "×", "÷", ".", ",", "'s", "12", "日本", "“", "—", "x.y", "<|endoftext|>"]
+    texts = [None, "", "\n", " ", "."]
+    for k in range(3000):
+        parts = plain + list(tokens.WHITE + tokens.UNSURE) * (k % 3 == 0)
+        texts.append(rng.choice([None, ""]) if k % 50 == 0 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))))
+    wanted = [x.ids for x in mine.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    for chunk in (1, 300, 1 << 23):
+        monkeypatch.setattr(tokens, "_CHUNK", chunk)
+        for kind in (pa.string(), pa.large_string()):
+            ids, ends = mine.column(pa.array(["before", *texts, "after"], kind).slice(1, len(texts)))
+            assert [x.tolist() for x in np.split(ids, ends)[:-1]] == wanted and len(ids) == ends[-1]
+    for some in ([], [None], ["", None]):
+        ids, ends = mine.column(pa.array(some, pa.string()))
+        assert len(ids) == 0 and ends.tolist() == [0] * len(some)
+
+
+def test_encoder_hands_over_few_texts():
+    """New words of any letters go to the library some hundred a text, and a word with a mark is no new word."""
+    mine = Encoder(vocabulary("byte_bpe_50k.json"), "leading", special=True)
+    handed, library = [], mine.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    mine.library = Counted()
+    rng = random.Random(22)
+    words = ["".join(rng.choice("abcdeéèçouß") for _ in range(9)) for _ in range(4000)]
+    texts = ["\n".join([" ".join(words[k : k + 5]), words[k + 5] + " " + words[k + 6] + "."]) for k in range(0, 3990, 5)]
+    found = mine.batch(texts)
+    assert found == [np.array(x.ids, mine.dtype).tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(handed) < 100
+    size = len(mine.known)
+    mine.batch([" ".join(w + m for w in words[:3000] if w.isalpha()) for m in ".,"])
+    assert len(mine.known) - size <= 3000
+
+
 def test_queries_find_special_tokens(spark, tmp_path):
     """The registered queries give the ids of a tokenizer as it comes from the file."""
     from tokenizers import Tokenizer

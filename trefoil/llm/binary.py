@@ -30,6 +30,7 @@ from .common import ROW, written
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 20
+_ROWS = 4096
 # Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -62,17 +63,18 @@ def _tokenise(path: str, spaces: str, end_id: int, special: bool):
     def run(batches):
         for batch in batches:
             enc = encoder(path, spaces, special)
-            end = np.array([end_id], enc.dtype).tobytes()
-            texts = batch.column(2).to_pylist()
-            ids = []
-            # A few texts at a time, so that runs seen for the first time stay few.
-            for i in range(0, len(texts), 256):
-                ids += [x + end for x in enc.batch([t or "" for t in texts[i : i + 256]])]
             width = np.dtype(enc.dtype).itemsize
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())],
-                ["doc_id", ROW, "ids", "width"],
-            )
+            # Some rows at a time, so that their ids fit one Arrow array.
+            for k in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(k, _ROWS)
+                ids, ends = enc.column(some.column(2))
+                ids = np.insert(ids, ends, end_id)
+                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * width
+                found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), found.cast(pa.binary()), pa.array(np.full(len(ends), width, np.int32))],
+                    ["doc_id", ROW, "ids", "width"],
+                )
     return run
 
 

@@ -2,8 +2,10 @@
 
 The library is handed each distinct run of text once per process: a text is cut
 only where the tokenizer itself always cuts, the ids of a run are remembered, and
-the ids of the text are those of its runs in order. What is remembered is bounded
-by ``limit`` runs. The result is the library's own for the whole text.
+the ids of the text are those of its runs in order. Where white space leads tokens,
+runs are found and told apart for a whole column of texts at once. What is
+remembered is bounded by ``limit`` runs. The result is the library's own for the
+whole text.
 """
 
 from __future__ import annotations
@@ -12,15 +14,26 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 # The code points of the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 # White space to some libraries only; a text with one of these is not cut at all.
 UNSURE = "\x1c\x1d\x1e\x1f᠎"
-# Words of one text that the library is handed to learn them.
+# Words of one text, line ends between them counted, that the library is handed to learn them.
 JOINED = 200
 _RARE = [c for c in WHITE if c not in " \n"]
 _RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+# Bytes of text whose runs are told apart at once.
+_CHUNK = 1 << 23
+# Characters that the library is handed at a time.
+_HANDED = 1 << 20
+# By byte: ASCII white space, ASCII letters, and what begins other white space or an unsure character; those as numbers.
+_BLANK = np.array([chr(b) in "\t\n\x0b\x0c\r " for b in range(256)])
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+_OTHER = [c.encode() for c in WHITE + UNSURE if ord(c) > 127 or not _BLANK[ord(c)]]
+_LEAD = np.isin(np.arange(256), [c[0] for c in _OTHER])
+_ODD = [int.from_bytes(c, "big") for c in _OTHER]
 
 
 class Encoder:
@@ -76,6 +89,10 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids (of ``dtype``) of each text."""
+        if self.lengths is not None:
+            ids, ends = self.column(pa.array(texts, pa.large_string()))
+            raw, cuts = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
+            return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         known, get = self.known, self.known.get
         runs = [self.cut(t) for t in texts]
         # One look-up a run; what is not known yet is filled in after the library has seen it.
@@ -89,12 +106,7 @@ class Encoder:
             # Other letters may be normalised to a letter and a combining mark, which joins the mark after it.
             marked = [x for x in new if x[-1:] in (".", ",") and x[-2:-1].isascii() and x[-2:-1].isalpha() and not self.whole]
             plain = new.difference(marked).union(x[:-1] for x in marked).difference(known).union(".,")
-            order = list(plain)
-            if self.lengths is not None:
-                words = [x for x in order if x[:1] == " " and len(x) > 1 and x.isascii() and x.isprintable() and x.rfind(" ") == 0]
-                order = list(plain.difference(words)) + self._learn_joined(words)
-            for run, ids in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False)):
-                known[run] = array(self.code, ids.ids).tobytes()
+            self._learn(list(plain))
             for x in marked:
                 known[x] = known[x[:-1]] + known[x[-1]]
         for r, f, g in zip(runs, found, gaps):
@@ -102,17 +114,116 @@ class Encoder:
                 f[k] = known[r[k]]
         return [b"".join(f) for f in found]
 
-    def _learn_joined(self, words: list[str]) -> list[str]:
-        """Learn many words, each with one space before it, by one text for some hundred; returns those not learnt.
-
-        The tokenizer cuts before the space of each word, so the bytes that tokens stand for tell where its ids end.
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where those of each text end; a null is an empty text."""
+        if self.lengths is None:
+            parts = self.batch([t or "" for t in texts.to_pylist()])
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(self.dtype).itemsize
+            return np.frombuffer(b"".join(parts), self.dtype), ends
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts) or texts.buffers()[2] is None:
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        found, ends, i, total = [], [], 0, 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
+            ids, upto = self._chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            found.append(ids)
+            ends.append(upto + total)
+            i, total = j, total + len(ids)
+        return np.concatenate(found), np.concatenate(ends)
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``column``, for texts given by their bytes and where they begin and end."""
+        starts = self._starts(data, offsets)
+        runs = pa.Array.from_buffers(
+            pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        words, known = runs.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        found = list(map(known.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        if gaps:
+            if len(known) + len(gaps) > self.limit:
+                known.clear()
+            self._learn([words[k] for k in gaps])
+            for k in gaps:
+                found[k] = known[words[k]]
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        which = runs.indices.to_numpy()
+        many = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        # The ids of a run lie together, so their places are those of its first one and a running number.
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], many)
+        places += np.arange(len(places))
+        return ids[places], upto[np.searchsorted(starts, offsets[1:])]
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the runs of some texts begin, as ``_spaced`` cuts them; marks after a letter begin a run, too."""
+        blank = _BLANK[data]
+        cut = blank.copy()
+        cut[1:] &= ~blank[:-1]
+        # A single line end stands alone.
+        after = np.flatnonzero(cut[:-1] & (data[:-1] == 10)) + 1
+        cut[after[~blank[after]]] = True
+        # No token reaches from a letter over a mark. Letters: ASCII, and two bytes of a Latin one (all of U+00C0 to U+027F but two).
+        mark = np.flatnonzero((data == 46) | (data == 44))
+        mark = mark[mark > 1]
+        last, first = data[mark - 1], data[mark - 2]
+        latin = (last >= 0x80) & (last < 0xC0) & (((first >= 0xC4) & (first <= 0xC9)) | ((first == 0xC3) & (last != 0x97) & (last != 0xB7)))
+        mark = mark[_LETTER[last] | latin]
+        cut[mark] = True
+        lead = np.flatnonzero(_LEAD[data])
+        if len(lead):
+            some = np.concatenate([data, np.zeros(2, np.uint8)])
+            value = some[lead].astype(np.int64)
+            for k, least in ((1, 0x80), (2, 0xE0)):
+                value = np.where(some[lead] >= least, value << 8 | some[lead + k], value)
+            for t in np.unique(np.searchsorted(offsets, lead[np.isin(value, _ODD)], "right")) - 1:
+                a, b = offsets[t], offsets[t + 1]
+                cut[a:b] = False
+                sizes = [len(r.encode()) for r in self._spaced(data[a:b].tobytes().decode())]
+                cut[a + np.cumsum(sizes) - sizes] = True
+        # An empty text begins no run.
+        cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, runs: list[str]) -> None:
+        """Remember the ids of runs."""
+        if self.lengths is not None:
+            runs = self._learn_joined(runs)
+        for run, ids in self._handed(runs):
+            self.known[run] = array(self.code, ids.ids).tobytes()
+
+    def _handed(self, texts: list[str]):
+        """Texts and what the library makes of them, some at a time, so that few of its results are held."""
+        sizes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + _HANDED, "right")))
+            yield from zip(texts[i:j], self.library.encode_batch_fast(texts[i:j], add_special_tokens=False))
+            i = j
+
+    def _learn_joined(self, runs: list[str]) -> list[str]:
+        """Learn many words by one text for some hundred; returns the runs not learnt.
+
+        The tokenizer cuts before the space of a word and on both sides of a single line end, which is put before a word
+        without space, so the bytes that tokens stand for tell where the ids of each end.
         """
-        left, known = [], self.known
+        words, left, known = [], [], self.known
+        for x in runs:
+            if not x.isprintable() or x.rfind(" ") > 0 or x in (" ", ""):
+                left.append(x)
+            elif x[0] == " ":
+                words.append(x)
+            else:
+                words += ("\n", x)
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        for group, found in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+        for group, (text, found) in zip(groups, self._handed(["".join(g) for g in groups])):
             ids = np.array(found.ids, self.dtype)
             reached = np.cumsum(self.lengths[ids])
-            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            sizes = map(len, group) if text.isascii() else [len(x.encode()) for x in group]
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(group)))
             last = np.searchsorted(reached, ends)
             if last[-1] >= len(reached) or (reached[last] != ends).any():
                 left += group
