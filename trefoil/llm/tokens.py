@@ -24,6 +24,7 @@ UNSURE = "\x1c\x1d\x1e\x1f᠎"
 JOINED = 200
 _RARE = [c for c in WHITE if c not in " \n"]
 _RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 # Bytes of text whose runs are told apart at once.
 _CHUNK = 1 << 23
 # Characters that the library is handed at a time.
@@ -64,6 +65,7 @@ class Encoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.lengths = self._lengths() if spaces == "leading" and not self.whole else None
+        self.last = self._last() if spaces == "dropped" and not self.whole else None
 
     def _lengths(self) -> np.ndarray | None:
         """Bytes of text that each token stands for, where tokens are the text's own bytes."""
@@ -76,6 +78,17 @@ class Encoder:
         names = (self.library.id_to_token(i) for i in range(self.library.get_vocab_size()))
         return np.array([len(added[i].content.encode()) if i in added else len(x or "") for i, x in enumerate(names)], np.int64)
 
+    def _last(self) -> np.ndarray | None:
+        """Whether each token ends a piece of a text, where each piece ends in one such token."""
+        from tokenizers import pre_tokenizers
+
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        if not suffix or any(self.library.token_to_id(c + suffix) is None for c in pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        if any(_WORD.fullmatch(a.content) for a in self.library.get_added_tokens_decoder().values()):
+            return None
+        return np.array([(self.library.id_to_token(i) or "").endswith(suffix) for i in range(self.library.get_vocab_size())])
+
     def _words(self, text: str) -> list[str]:
         return [text] if any(c in text for c in UNSURE) else text.split()
 
@@ -192,8 +205,11 @@ class Encoder:
         """Remember the ids of runs."""
         if self.lengths is not None:
             runs = self._learn_joined(runs)
+        elif self.last is not None:
+            runs = self._learn_letters(runs)
+        known, code = self.known, self.code
         for run, ids in self._handed(runs):
-            self.known[run] = array(self.code, ids.ids).tobytes()
+            known[run] = array(code, ids.ids).tobytes()
 
     def _handed(self, texts: list[str]):
         """Texts and what the library makes of them, some at a time, so that few of its results are held."""
@@ -210,7 +226,7 @@ class Encoder:
         The tokenizer cuts before the space of a word and on both sides of a single line end, which is put before a word
         without space, so the bytes that tokens stand for tell where the ids of each end.
         """
-        words, left, known = [], [], self.known
+        words, left = [], []
         for x in runs:
             if not x.isprintable() or x.rfind(" ") > 0 or x in (" ", ""):
                 left.append(x)
@@ -228,10 +244,31 @@ class Encoder:
             if last[-1] >= len(reached) or (reached[last] != ends).any():
                 left += group
                 continue
-            raw, cuts = ids.tobytes(), ((last + 1) * ids.itemsize).tolist()
-            known.update(zip(group, map(raw.__getitem__, map(slice, [0] + cuts[:-1], cuts))))
+            self._keep(group, ids, last + 1)
+        return left
+
+    def _learn_letters(self, runs: list[str]) -> list[str]:
+        """As ``_learn_joined``, for words of Latin letters where white space is dropped.
+
+        No word is without a token that ends a piece, so if there are as many such tokens as words, each word has one.
+        """
+        words = [x for x in runs if _WORD.fullmatch(x)]
+        left = [x for x in runs if not _WORD.fullmatch(x)]
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, (_, found) in zip(groups, self._handed([" ".join(g) for g in groups])):
+            ids = np.array(found.ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                left += group
+                continue
+            self._keep(group, ids, ends)
         return left
 
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Remember ids that words have one after the other."""
+        raw, cuts = ids.tobytes(), (ends * ids.itemsize).tolist()
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, [0] + cuts[:-1], cuts))))
+
 
 _encoders: dict[tuple, Encoder] = {}
 
