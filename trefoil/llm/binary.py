@@ -30,7 +30,7 @@ from .common import ROW, written
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 20
-_ROWS = 4096
+_ROWS = 2048
 # Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 

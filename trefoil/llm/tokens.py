@@ -20,15 +20,17 @@ import pyarrow as pa
 WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 # White space to some libraries only; a text with one of these is not cut at all.
 UNSURE = "\x1c\x1d\x1e\x1f᠎"
+# Runs that are remembered; fewer where a word and the mark after it are two.
+LIMIT = {"dropped": 1_000_000, "leading": 650_000}
 # Words of one text, line ends between them counted, that the library is handed to learn them.
 JOINED = 200
 _RARE = [c for c in WHITE if c not in " \n"]
 _RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 # Bytes of text whose runs are told apart at once.
-_CHUNK = 1 << 23
+_CHUNK = 1 << 22
 # Characters that the library is handed at a time.
-_HANDED = 1 << 20
+_HANDED = 1 << 18
 # By byte: ASCII white space, ASCII letters, and what begins other white space or an unsure character; those as numbers.
 _BLANK = np.array([chr(b) in "\t\n\x0b\x0c\r " for b in range(256)])
 _LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
@@ -48,7 +50,7 @@ class Encoder:
     library as it comes; without, their characters are ordinary text.
     """
 
-    def __init__(self, path: str, spaces: str, limit: int = 1_000_000, special: bool = False):
+    def __init__(self, path: str, spaces: str, limit: int | None = None, special: bool = False):
         from tokenizers import Tokenizer
 
         if spaces not in ("dropped", "leading"):
@@ -62,7 +64,7 @@ class Encoder:
         added = self.library.get_added_tokens_decoder().values()
         self.whole = any(a.lstrip or a.rstrip or any(c in a.content for c in WHITE + UNSURE + ".,") for a in added)
         self.cut = (lambda text: [text]) if self.whole else self._words if spaces == "dropped" else self._spaced
-        self.limit = limit
+        self.limit = limit or LIMIT[spaces]
         self.known: dict[str, bytes] = {}
         self.lengths = self._lengths() if spaces == "leading" and not self.whole else None
         self.last = self._last() if spaces == "dropped" and not self.whole else None
